@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import mixing, neardup, sharding
+from citemill.llm import lmscore, mixing, neardup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": neardup.op3_near_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op9_lm_score": lmscore.op9_lm_score,
 }
 
 SQL: dict[str, str] = {
