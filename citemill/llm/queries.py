@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import lmscore, mixing, neardup, sharding
+from citemill.llm import lmscore, mixing, neardup, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": neardup.op3_near_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_lm_score": lmscore.op9_lm_score,
+    "op10_topk": topk.op10_topk,
 }
 
 SQL: dict[str, str] = {
     "op5_sharding": sharding.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op10_topk": topk.ORACLE_SQL,
 }
