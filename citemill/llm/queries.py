@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import lmscore, mixing, neardup, sharding, topk
+from citemill.llm import lmscore, mixing, neardup, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": neardup.op3_near_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_lm_score": lmscore.op9_lm_score,
     "op10_topk": topk.op10_topk,
