@@ -9,11 +9,15 @@ every such pair. With 12 chunks of 6 values and one error that is a distance of
 similarity 0.8 that lies beyond still shares a key in all but 3 of 10**6 cases. Found pairs are
 confirmed on full shingle sets, in integers.
 
-Rows with the same set are one vertex (a 128-bit fingerprint and the size tell sets apart), so copies
-cost nothing. A bucket isn't expanded into pairs: (1) each member is confirmed against one leader of
-its buckets, (2) against the leaders it isn't connected with yet, (3) only members of a bucket that are
-still in different components are compared with each other. A link between different texts can then
-only be missing from the list where its ends are connected anyhow, so components are those of all links.
+Rows with the same set are one vertex (a 64-bit fingerprint of two sums and the size tells sets apart), so copies
+cost nothing. A bucket isn't expanded into pairs. First, in `ROUNDS` rounds over whole-chunk keys, each
+component so far (at first each vertex) has one pair confirmed: with the leader of another component
+that it shares most buckets with. Large groups melt together there, at one pair a component and round.
+Then all keys are emitted; buckets within one component are dropped, the others get one more such round,
+and what is still in different components is compared pair by pair, if sizes and two bits of each
+signature value (in the join's own condition) let the pair reach the similarity. A link between
+different texts can then only be left unconfirmed where its ends are connected anyhow, so components
+are those of all links.
 
 Null or empty texts, and texts without words, have no set, no link and their own id as component; a
 null doc_id takes part, but isn't the smallest id of a group unless it is alone. Rows that share a
@@ -22,6 +26,7 @@ doc_id are judged by their own texts. An empty table gives an empty result. Extr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,6 +43,7 @@ CHUNKS, WIDTH, ERRORS = 12, 6, 1
 #: Pairs whose signatures agree in fewer than half of their values are not confirmed: at similarity 0.8
 #: that is over six standard deviations away.
 LEAST_AGREEING = 0.5
+ROUNDS = 3
 #: Ids (8 bytes each) that are sent to all executors at most; beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -53,45 +59,49 @@ def _signature(s: np.ndarray, sizes: np.ndarray, values: int) -> np.ndarray:
     return out
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of a batch with their shingles, set sizes and two fingerprints."""
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of a batch with their shingles, set sizes and fingerprints."""
     for i, j, data, offs in tk.chunks(batch.column(batch.schema.get_field_index("text"))):
         h, doc, _, _ = tk.words(data, offs)
         s, sizes = tk.shingle_sets(h, doc, j - i, n)
         one = tk.per_text(np.add, tk.mix(s + tk.U(0x1F83D9AB)), sizes, 0)
         two = tk.per_text(np.add, tk.mix(s ^ tk.U(0x5BE0CD19137E2179)), sizes, 0)
         vertex = tk.mix(one ^ tk.mix(two + sizes.astype(tk.U)))
-        yield batch.slice(i, j - i), s, sizes, vertex.view(np.int64), one.view(np.int64)
+        yield batch.slice(i, j - i), s, sizes, vertex.view(np.int64)
 
 
 def sketches(docs: DataFrame, n: int, values: int) -> DataFrame:
-    """doc_id, n_shingles, vertex (the set's fingerprint), check (more of it) and sig of every row."""
+    """doc_id, n_shingles, vertex (the set's fingerprint), sig and bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, s, sizes, vertex, check in _sets(batch, n):
+            for rows, s, sizes, vertex in _sets(batch, n):
                 sig = np.zeros((len(sizes), values), np.uint16)
                 if len(s):
                     sig[sizes > 0] = _signature(s, sizes, values)
                 sig_col = pa.array([x.tobytes() for x in sig], pa.binary())
+                two = (sig[:, :64] & 3).astype(tk.U)  # two bits of each value, 32 values to a word
+                two = np.concatenate((two, np.zeros((len(two), 64 - two.shape[1]), tk.U)), 1)
+                two = (two.reshape(-1, 2, 32) << (tk.U(2) * np.arange(32, dtype=tk.U))).sum(2, dtype=tk.U).view(np.int64)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(two) + 1, 2), pa.int32()), pa.array(two.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(vertex), pa.array(check), sig_col],
-                    names=["doc_id", "n_shingles", "vertex", "check", "sig"],
+                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(vertex), sig_col, bits],
+                    names=["doc_id", "n_shingles", "vertex", "sig", "bits"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, vertex long, check long, sig binary"
+        run, "doc_id long, n_shingles long, vertex long, sig binary, bits array<long>"
     )
 
 
-def _keys(sets: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
-    """(key, vertex): for each chunk of the signature, all ways to mask `errors` of its values."""
+def _keys(vertices: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
+    """(key, vertex, component): for each chunk of the signature, all ways to mask `errors` of its values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(tk.U)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(tk.U)
             keys = []
             for c in range(chunks):
                 for m, kept in enumerate(combinations(range(width), width - errors)):
@@ -100,13 +110,33 @@ def _keys(sets: DataFrame, chunks: int, width: int, errors: int) -> DataFrame:
                         x = tk.mix(x * tk.U(0x9E3779B97F4A7C15) + sig[:, c * width + k])
                     keys.append(x)
             flat = np.stack(keys, 1).ravel().view(np.int64)
-            vertex = np.repeat(batch.column(0).to_numpy(), len(keys))
+            vertex, component = (np.repeat(batch.column(i).to_numpy(), len(keys)) for i in (0, 1))
             for at in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[at : at + 100_000]), pa.array(vertex[at : at + 100_000])], names=["key", "vertex"]
-                )
+                s = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[s]), pa.array(vertex[s]), pa.array(component[s])], names=["key", "vertex", "component"])
+
+    return vertices.select("vertex", "component", "sig").mapInArrow(run, "key long, vertex long, component long")
+
+
+def _with_component(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return rows.withColumn("component", F.col("vertex"))
+    return rows.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
 
-    return sets.select("vertex", "sig").mapInArrow(run, "key long, vertex long")
+
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component, with the bucket's first (component, vertex) as `lead`."""
+    by_key = Window.partitionBy("key")
+    lead = F.min(F.struct("component", "vertex")).over(by_key)
+    rows = keyed.withColumns({"lead": lead, "last": F.max("component").over(by_key)})
+    return rows.where("lead.component <> last").drop("last")
+
+
+def _one_each(mixed: DataFrame) -> DataFrame:
+    """One pair (a, b) for each component: with the leader that one of its vertices shares most buckets with."""
+    met = mixed.where("component <> lead.component").groupBy("component", "vertex", F.col("lead.vertex").alias("b")).count()
+    best = met.groupBy("component").agg(F.min(F.struct((-F.col("count")).alias("n"), "b", F.col("vertex").alias("a"))).alias("to"))
+    return best.select("to.a", "to.b")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, values: int, percent: int) -> DataFrame:
@@ -137,7 +167,7 @@ def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, s, sizes, vertex, _ in _sets(batch, n):
+            for _, s, sizes, vertex in _sets(batch, n):
                 end = np.cumsum(sizes)
                 blobs = [s[e - k : e].tobytes() for e, k in zip(end, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(blobs, pa.binary())], names=["vertex", "shingles"])
@@ -168,17 +198,27 @@ def _merge(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (vertex, component) after further links; vertices without a label are their own component."""
     if label is None:
         return connected_components(links).withColumnRenamed("id", "vertex")
-    named = _labelled(links, label).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    named = links.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
+    named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
     step = materialize(connected_components(named), "step")
     moved = label.join(step.toDF("component", "to"), "component", "left").select("vertex", F.coalesce("to", "component").alias("component"))
     fresh = step.toDF("vertex", "component").join(label, "vertex", "left_anti")
     return materialize(moved.unionByName(fresh), "component")
 
 
-def _labelled(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs with the components of both ends, those within a component left out."""
-    out = pairs.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-    return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+def _across(mixed: DataFrame, sets: DataFrame, values: int, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket whose sizes and signature bits let them be linked."""
+    used = min(64, values)
+    apart = 1 - percent / 100
+    most = int(used * apart + 6 * math.sqrt(used * (1.5 * apart - apart * apart))) + 1  # six standard deviations above the mean
+    rows = mixed.join(sets.select("vertex", "n_shingles", "bits"), "vertex")
+    one, two = (rows.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("vertex", "component", "n_shingles", "bits")]) for x in "ab")
+    far = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(2)), F.lit(0))
+    near = (F.col("a_vertex") > F.col("b_vertex")) & (F.col("a_component") != F.col("b_component")) & (far <= most)
+    sized = F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent
+    return one.join(two.withColumnRenamed("key", "b_key"), (F.col("key") == F.col("b_key")) & sized & near).select(
+        F.col("a_vertex").alias("a"), F.col("b_vertex").alias("b")
+    ).distinct()
 
 
 def near_duplicates(
@@ -189,39 +229,27 @@ def near_duplicates(
     sketched = materialize(sketches(docs, n, values), "sketches")
     has = sketched.where("n_shingles > 0")
     sets = materialize(
-        has.groupBy("vertex").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min("doc_id").alias("first_id")),
+        has.groupBy("vertex").agg(
+            F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.min("doc_id").alias("first_id")
+        ),
         "sets",
     )
-    by_key = Window.partitionBy("key")
-    buckets = _keys(sets, chunks, width, errors).withColumns({"lead": F.min("vertex").over(by_key), "last": F.max("vertex").over(by_key)})
-    buckets = materialize(buckets.where("lead <> last").drop("last"), "buckets")
-
-    stars = buckets.where("vertex <> lead").select(F.col("vertex").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = materialize(_agreeing(stars, sets, values, percent), "stars")
-    sure = F.col("agree") * 100 >= values * percent
-    best = stars.groupBy("a").agg(F.min(F.struct((~sure).alias("x"), F.when(sure, 0).otherwise(-F.col("agree")).alias("y"), "b")).alias("to"))
-    best = best.select("a", F.col("to.b").alias("b"))
-
-    ends = stars.select(F.col("a").alias("vertex")).union(stars.select("b")).distinct()
-    full = _full_sets(docs, sets, ends, n)
-    links = materialize(_confirmed(best, full, percent), "links")
-    label = _merge(None, links)
-
-    tried = materialize(best, "tried")
-    rest = _labelled(stars.join(tried, ["a", "b"], "left_anti"), label).select("a", "b")
-    label = _merge(label, materialize(_confirmed(rest, full, percent), "links"))
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-    in_bucket = buckets.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    spread = in_bucket.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mixed = materialize(in_bucket.join(spread, "key", "left_semi").drop("lead"), "mixed")
-    one, two = mixed.toDF("key", "a", "ca"), mixed.toDF("key", "b", "cb")
-    across = one.join(two, "key").where("a > b and ca <> cb").select("a", "b").distinct()
-    across = materialize(_agreeing(across.join(tried, ["a", "b"], "left_anti"), sets, values, percent), "across")
-    more = across.select(F.col("a").alias("vertex")).union(across.select("b")).distinct()
-    label = _merge(label, materialize(_confirmed(across, _full_sets(docs, sets, more, n), percent), "links"))
-
-    named = sets.join(label, "vertex", "left").select("vertex", "first_id", F.coalesce("component", "vertex").alias("component"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_agreeing(pairs, sets, values, percent), "pairs")
+        ends = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+        return materialize(_confirmed(pairs, _full_sets(docs, sets, ends, n), percent), "links")
+
+    label = None
+    for _ in range(ROUNDS):
+        keyed = _keys(_with_component(sets, label), chunks, width, 0)
+        label = _merge(label, links(_one_each(_mixed(keyed))))
+    mixed = materialize(_mixed(_keys(_with_component(sets, label), chunks, width, errors)), "mixed")
+    label = _merge(label, links(_one_each(mixed)))
+    mixed = _mixed(_with_component(mixed.select("key", "vertex"), label)).drop("lead")
+    label = _merge(label, links(_across(materialize(mixed, "mixed"), sets, values, percent)))
+
+    named = _with_component(sets.select("vertex", "first_id"), label)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_vertex = named.join(smallest, "component").select("vertex", "component_id")
     out = sketched.join(of_vertex, "vertex", "left").select(

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import lmscore, mixing, neardup, quality, sharding, topk
+from citemill.llm import decontam, lmscore, mixing, neardup, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_near_dedup": neardup.op3_near_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op7_quality": quality.op7_quality,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_decontamination": decontam.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
