@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import decontam, linededup, lmscore, mixing, neardup, quality, sharding, topk
+from citemill.llm import decontam, licenses, linededup, lmscore, mixing, neardup, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontam.op2_decontamination,
     "op3_near_dedup": neardup.op3_near_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_sharding": sharding.op5_sharding,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_quality": quality.op7_quality,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE_SQL,
+    "op4_license_scan": licenses.ORACLE_SQL,
     "op5_sharding": sharding.ORACLE_SQL,
     "op6_line_dedup": linededup.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
