@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citemill.llm import decontam, licenses, linededup, lmscore, mixing, neardup, quality, sharding, topk
+from citemill.llm import decontam, licenses, linededup, lmscore, mixing, neardup, quality, sharding, tokencounts, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": tokencounts.op1_token_counts,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_near_dedup": neardup.op3_near_dedup,
     "op4_license_scan": licenses.op4_license_scan,
