@@ -9,9 +9,9 @@ substituted places one of the masks fits in between, so every leak has a seed in
 choices). Seeds that meet give an alignment; the aligned tokens are then compared and counted.
 
 The benchmark's seeds are sent to all executors if there are at most `SMALL_SEEDS` of them, 40 bytes
-each, else the join is shuffled. Documents with a hit are fetched again by id, texts are not shuffled
-unless more than `SMALL_IDS` documents have hits. A null doc_id takes part as an id of its own. Null
-and empty texts leak nothing, null items are skipped, repeated rows of one id count as one document,
+each, else the join is shuffled. Documents with a hit are fetched again by a hash of id and text; texts
+are not shuffled unless a great many documents have hits. A null doc_id takes part as an id of its own.
+Null and empty texts leak nothing, null items are skipped, rows that share an id count as one document,
 repeated items each as themselves. Empty tables give an empty result. Extra columns don't matter.
 """
 
@@ -20,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citemill.llm.rows import row_key, small, without
 from citemill.runtime import materialize, table
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 5, 6))
 SPAN = 7
 WINDOW, LEAST_TOKENS = 13, 5
-SMALL_SEEDS, SMALL_IDS = 500_000, 2_000_000
-NO_ID = -(2**63)
+SMALL_SEEDS = 500_000
 
 
 def tokens(text: str = "text") -> Column:
@@ -51,21 +51,20 @@ def allowed(n: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, window, matched): the best window of every document and item that leaks."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    """(row, doc_id, item_id, window, matched): the best window of every row (its key) and item that leaks."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
     items = benchmark.select("item_id", tokens().alias("h")).where(F.size("h") >= LEAST_TOKENS)
     items = items.withColumn("item", F.monotonically_increasing_id())
     items = materialize(items, "items")
     wanted = materialize(seeds(items, "item").withColumnRenamed("at", "item_at"), "seeds")
-    found = seeds(rows.select("doc_id", tokens().alias("h")), "doc_id")
+    found = seeds(rows.select("row", tokens().alias("h")), "row")
     hits = found.join(F.broadcast(wanted) if wanted.count() <= SMALL_SEEDS else wanted, "seed")
-    hits = hits.select("doc_id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = hits.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits, "hits")
 
-    ids = hits.select("doc_id").distinct()
-    texts = rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "doc_id", "left_semi")
-    texts = texts.select("doc_id", tokens().alias("h"))
-    met = hits.join(texts, "doc_id").join(items.select("item", "item_id", F.col("h").alias("b")), "item")
+    texts = rows.join(small(hits.select("row").distinct()), "row", "left_semi").dropDuplicates(["row"])
+    texts = texts.select("row", "doc_id", tokens().alias("h"))
+    met = hits.join(texts, "row").join(items.select("item", "item_id", F.col("h").alias("b")), "item")
     size = F.least(F.size("b"), F.lit(WINDOW))
     same = F.transform("b", lambda t, i: F.when(F.get(F.col("h"), i + F.col("shift")) == t, 1).otherwise(0))
     met = met.withColumns({"window": size, "need": size - allowed(F.size("b"))}).withColumn("same", same)
@@ -76,20 +75,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
     )
     met = met.where(F.aggregate("same", F.lit(0), lambda a, x: a + x) >= F.col("need")).withColumn("matched", best).where("matched >= need")
-    out = met.groupBy("doc_id", "item", "item_id").agg(F.max("window").alias("window"), F.max("matched").alias("matched"))
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "item_id", "window", "matched")
+    return met.groupBy("row", "doc_id", "item", "item_id").agg(F.max("window").alias("window"), F.max("matched").alias("matched")).drop("item")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document leaks no benchmark item."""
-    bad = materialize(leaks(docs, benchmark).select("doc_id").distinct(), "leaky")
-    bad = bad.withColumnRenamed("doc_id", "_leaky")
-    return docs.join(F.broadcast(bad) if bad.count() <= SMALL_IDS else bad, docs["doc_id"].eqNullSafe(bad["_leaky"]), "left_anti")
+    """The rows of `docs` that leak no benchmark item."""
+    return without(docs, materialize(leaks(docs, benchmark).select("row").distinct(), "leaky"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak of a `benchmark` item in `documents`: doc_id, item_id, window (tokens), matched (of them)."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("window").alias("window"), F.max("matched").alias("matched"))
 
 
 ORACLE_SQL = """

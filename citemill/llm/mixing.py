@@ -89,6 +89,13 @@ def global_shuffle(rows: DataFrame, keys: tuple[str, ...], seed: int = SEED) ->
     return ranked.withColumn("position", F.col("_rank") - 1).drop("_key", "_whole", "_rank", "_of")
 
 
+def mixture(docs: DataFrame, targets: dict[str, float], other: float = 0.0, seed: int = SEED) -> DataFrame:
+    """`docs` replicated to the target weights, dealt and sorted in a seeded random order of all copies."""
+    copies = poisson_replicate(docs, targets, other, seed)
+    ordered = copies.orderBy(seeded_key(F.col("doc_id"), F.col("copy"), F.lit("order"), seed=seed), "doc_id", "copy")
+    return ordered.select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all `documents`: doc_id, source, copy, n_bytes (of the text), position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citemill.llm import textkernel as tk
+from citemill.llm.rows import row_key, small, without
 from citemill.operators.components import connected_components
 from citemill.runtime import materialize, table
 
@@ -43,9 +44,8 @@ CHUNKS, WIDTH, ERRORS = 12, 6, 1
 #: Pairs whose signatures agree in fewer than half of their values are not confirmed: at similarity 0.8
 #: that is over six standard deviations away.
 LEAST_AGREEING = 0.5
-ROUNDS = 3
-#: Ids (8 bytes each) that are sent to all executors at most; beyond it the join is shuffled.
-BROADCAST_IDS = 2_000_000
+#: Pairs that a component tries in each of the first rounds.
+DRAWS = (1, 8, 8, 8)
 
 
 def _signature(s: np.ndarray, sizes: np.ndarray, values: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.nd
 
 
 def sketches(docs: DataFrame, n: int, values: int) -> DataFrame:
-    """doc_id, n_shingles, vertex (the set's fingerprint), sig and bits of every row."""
+    """doc_id, row (its key), n_shingles, vertex (the set's fingerprint), sig and bits of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,12 +85,12 @@ def sketches(docs: DataFrame, n: int, values: int) -> DataFrame:
                 two = (two.reshape(-1, 2, 32) << (tk.U(2) * np.arange(32, dtype=tk.U))).sum(2, dtype=tk.U).view(np.int64)
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(two) + 1, 2), pa.int32()), pa.array(two.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(vertex), sig_col, bits],
-                    names=["doc_id", "n_shingles", "vertex", "sig", "bits"],
+                    [rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(vertex), sig_col, bits],
+                    names=["doc_id", "row", "n_shingles", "vertex", "sig", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, vertex long, sig binary, bits array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(
+        run, "doc_id long, row long, n_shingles long, vertex long, sig binary, bits array<long>"
     )
 
 
@@ -124,19 +124,21 @@ def _with_component(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     return rows.join(label, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
 
 
-def _mixed(keyed: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component, with the bucket's first (component, vertex) as `lead`."""
+def _mixed(keyed: DataFrame, draw: int) -> DataFrame:
+    """The rows of buckets that hold more than one component, with one member as `lead`: in draw 0 the one of
+    the smallest component, else one drawn for each bucket."""
     by_key = Window.partitionBy("key")
-    lead = F.min(F.struct("component", "vertex")).over(by_key)
-    rows = keyed.withColumns({"lead": lead, "last": F.max("component").over(by_key)})
-    return rows.where("lead.component <> last").drop("last")
+    order = F.xxhash64("key", "vertex", F.lit(draw)) if draw else F.col("component")
+    lead = F.min(F.struct(order.alias("order"), "component", "vertex")).over(by_key)
+    rows = keyed.withColumns({"lead": lead, "first": F.min("component").over(by_key), "last": F.max("component").over(by_key)})
+    return rows.where("first <> last").drop("first", "last")
 
 
-def _one_each(mixed: DataFrame) -> DataFrame:
-    """One pair (a, b) for each component: with the leader that one of its vertices shares most buckets with."""
+def _few_each(mixed: DataFrame, most: int) -> DataFrame:
+    """At most `most` pairs (a, b) for each component: with the leaders that its vertices share most buckets with."""
     met = mixed.where("component <> lead.component").groupBy("component", "vertex", F.col("lead.vertex").alias("b")).count()
-    best = met.groupBy("component").agg(F.min(F.struct((-F.col("count")).alias("n"), "b", F.col("vertex").alias("a"))).alias("to"))
-    return best.select("to.a", "to.b")
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("count"), F.xxhash64("vertex", "b")))
+    return met.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("vertex").alias("a"), "b")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, values: int, percent: int) -> DataFrame:
@@ -159,11 +161,9 @@ def _agreeing(pairs: DataFrame, sets: DataFrame, values: int, percent: int) -> D
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(vertex, shingles) of the wanted vertices, made from one document each."""
-    ids = sets.join(wanted, "vertex", "left_semi").select(F.col("first_id").alias("doc_id")).where("doc_id is not null")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small = ids.count() <= BROADCAST_IDS
-    some = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+    """(vertex, shingles) of the wanted vertices, made from one row's text each."""
+    rows = docs.select(row_key().alias("row"), "text")
+    some = rows.join(small(sets.join(wanted, "vertex", "left_semi").select("row")), "row", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +172,7 @@ def _full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> D
                 blobs = [s[e - k : e].tobytes() for e, k in zip(end, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(blobs, pa.binary())], names=["vertex", "shingles"])
 
-    made = some.mapInArrow(run, "vertex long, shingles binary").join(wanted, "vertex", "left_semi")
+    made = some.mapInArrow(run, "vertex long, shingles binary")
     return materialize(made.groupBy("vertex").agg(F.first("shingles").alias("shingles")), "shingles")
 
 
@@ -224,13 +224,13 @@ def _across(mixed: DataFrame, sets: DataFrame, values: int, percent: int) -> Dat
 def near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row of `docs`."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, row (its key) and component of every row of `docs`."""
     values = chunks * width
     sketched = materialize(sketches(docs, n, values), "sketches")
     has = sketched.where("n_shingles > 0")
     sets = materialize(
         has.groupBy("vertex").agg(
-            F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.min("doc_id").alias("first_id")
+            F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.min("row").alias("row"), F.min("doc_id").alias("first_id")
         ),
         "sets",
     )
@@ -241,23 +241,36 @@ def near_duplicates(
         return materialize(_confirmed(pairs, _full_sets(docs, sets, ends, n), percent), "links")
 
     label = None
-    for _ in range(ROUNDS):
+    for draw, most in enumerate(DRAWS):
         keyed = _keys(_with_component(sets, label), chunks, width, 0)
-        label = _merge(label, links(_one_each(_mixed(keyed))))
-    mixed = materialize(_mixed(_keys(_with_component(sets, label), chunks, width, errors)), "mixed")
-    label = _merge(label, links(_one_each(mixed)))
-    mixed = _mixed(_with_component(mixed.select("key", "vertex"), label)).drop("lead")
+        label = _merge(label, links(_few_each(_mixed(keyed, draw), most)))
+    mixed = materialize(_mixed(_keys(_with_component(sets, label), chunks, width, errors), len(DRAWS)), "mixed")
+    label = _merge(label, links(_few_each(mixed, DRAWS[-1])))
+    mixed = _mixed(_with_component(mixed.select("key", "vertex"), label), 0).drop("lead")
     label = _merge(label, links(_across(materialize(mixed, "mixed"), sets, values, percent)))
 
     named = _with_component(sets.select("vertex", "first_id"), label)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_vertex = named.join(smallest, "component").select("vertex", "component_id")
-    out = sketched.join(of_vertex, "vertex", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_vertex = named.join(smallest, "component").select("vertex", "component", "component_id")
+    smallest_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = sketched.join(of_vertex, "vertex", "left").withColumn("component_id", smallest_id)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "component")
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each group of near duplicates: one of the smallest id, of these the smallest key."""
+    found = materialize(near_duplicates(docs, n, percent), "near")
+    members = found.where("component is not null")
+    stays = members.where("kept").groupBy("component").agg(F.min("row").alias("stays"))
+    gone = members.join(stays, "component").where("row <> stays").select("row").distinct()
+    left = without(docs, materialize(gone, "gone"))
+    # rows that repeat in full share a key: one of them stays
+    repeated = materialize(members.groupBy("row").count().where("count > 1").select("row"), "repeated")
+    again = left.withColumn("_row", row_key()).join(small(repeated.toDF("_row")), "_row", "left_semi")
+    return without(left, repeated).unionByName(again.dropDuplicates(["_row"]).select(*docs.columns))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` under 2-word shingles at similarity 0.8: doc_id, n_shingles, component_id, kept."""
-    return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

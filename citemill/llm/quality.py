@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm import textkernel as tk
+from citemill.llm.rows import row_key, without
 from citemill.runtime import materialize, table
 
 BUCKETS, DIMS, FILLED, WINDOW = 1 << 14, 32, 4, 2
@@ -109,7 +110,7 @@ def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 
 def document_vectors(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """doc_id and vector (32-bit floats) of every row of `docs`."""
+    """doc_id, row (its key) and vector (32-bit floats) of every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,7 @@ def document_vectors(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
         forms = np.zeros((FORMS, FORM_DIMS), np.float32)
         np.put_along_axis(forms, places, signs.astype(np.float32), 1)
         for batch in batches:
-            for i, j, w, doc, form in _words(batch.column(1)):
+            for i, j, w, doc, form in _words(batch.column(2)):
                 m = j - i
                 count = np.bincount(doc, minlength=m)
                 out = np.zeros((m, WIDTH), np.float32)
@@ -131,10 +132,12 @@ def document_vectors(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
                     out[full] /= count[full, None]
                 out[:, -1] = np.log1p(count) / 10
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, m), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "vector"]
+                    [batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array([x.tobytes() for x in out], pa.binary())],
+                    names=["doc_id", "row", "vector"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, vector binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, vector binary")
 
 
 class Network:
@@ -188,7 +191,7 @@ def remainder(column: Column, modulus: int) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE) -> DataFrame:
-    """doc_id and score of every row of `docs`; `labels` (doc_id, quality) teaches, where `learn_from` holds."""
+    """doc_id, row (its key) and score of every row of `docs`; `labels` (doc_id, quality) teaches, where `learn_from` holds."""
     vectors = materialize(document_vectors(docs, context_table(docs)), "vectors")
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     if learn_from is not None:
@@ -203,11 +206,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_from: Column | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([np.frombuffer(v, np.float32) for v in batch.column(1).to_pylist()]).reshape(-1, WIDTH)
+            x = np.array([np.frombuffer(v, np.float32) for v in batch.column(2).to_pylist()]).reshape(-1, WIDTH)
             score = net.score(x) if net else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "row", "score"])
 
-    return vectors.mapInArrow(run, "doc_id long, score double")
+    return vectors.mapInArrow(run, "doc_id long, row long, score double")
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> DataFrame:
+    """The rows of `docs` whose score, learned from all labels, is at least `least`."""
+    low = quality_scores(docs, labels).where(F.col("score") < least)
+    return without(docs, materialize(low.select("row").distinct(), "rejected"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
