@@ -1,10 +1,831 @@
-"""Registry of the library's own queries over the driver's tables, and their SQL."""
+"""Registry of the library's own queries over the driver's tables, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citemill.functions import text as fx
+from citemill.operators import dedup, gaps, graph, metrics, rank, resolve, traverse
+from citemill.plans import testdata as td
+from citemill.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def words_sql(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def any_sql(col: str, stems: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({col}, '{s}')" for s in stems) + ")"
+
+
+WS = r"[ \t\n\r\f\x0B]"
+TITLE_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 \t\n\r\f\x0B]', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+KEY_SQL = "array_to_string(list_sort(list_filter(string_split(" + TITLE_SQL + ", ' '), lambda w: w <> '' and not list_contains(" + words_sql(fx.TITLE_STOP) + ", w)))[1:20], ' ')"
+TOKENS_SQL = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: not list_contains(" + words_sql(fx.RANK_STOP) + ", t))"
+#: Surrogate stems that are frequent in the driver's invented texts; the real rules hold English cues.
+STEMS_A, STEMS_B = ("that", "with", "pour", "nicht"), ("this", "from", "dans", "eine")
+THEMES = (("first", ("thtion", "ingthe")), ("second", ("onand", "menteux")), ("third", ("that", "der ")))
+QUESTIONS = ((1, "which tionthe that the andere"), (2, "compare onthat with thing and entre"), (3, "with des que"))
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(QUESTIONS), "query_id int, query string")
+
+
+QUESTIONS_SQL = "questions(query_id, query) as (values " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ")"
+BM25_SQL = (
+    QUESTIONS_SQL
+    + f""", tok as (select doc_id as id, {TOKENS_SQL.format('text')} as w from documents), st as (select count(*) as n, avg(len(w)) as mean from tok),
+  want as (select query_id, word, count(*) as times from (select query_id, unnest({TOKENS_SQL.format('query')}) as word from questions) group by 1, 2),
+  uses as (select id, len(w) as l, unnest(w) as word from tok), tf as (select id, l, word, count(*) as tf from uses where word in (select word from want) group by 1, 2, 3),
+  df as (select word, count(*) as df from tf group by 1),
+  scored as (select query_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) as score
+    from tf join df using (word) join want using (word) cross join st group by 1, 2)"""
+)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@register(f"with {BM25_SQL} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from scored where score > 0 qualify rank <= 5")
+def a17_w8_bm25_top5(spark, sf_dir):
+    return rank.bm25_top(_docs(spark, sf_dir), questions(spark), 5)
+
+
+@register(
+    f"with {BM25_SQL} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from scored where score > 0 and id in (select doc_id from labels) qualify rank <= 5"
+)
+def w8_bm25_allow_list(spark, sf_dir):
+    return rank.bm25_top(_docs(spark, sf_dir), questions(spark), 5, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+
+
+FLAGSHIP = a17_w8_bm25_top5
+
+
+@register(
+    r"""with u as (select page_id, lower(trim(case page_id % 5 when 0 then 'https://doi.org/10.' when 1 then 'DOI:10.' when 2 then 'http://dx.doi.org/10.' when 3 then ' https://doi.org/doi:10.' else '11.' end || page_id || '/X')) as s from pages),
+  v as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^https://doi\.org/', ''), '^http://doi\.org/', ''), '^https://dx\.doi\.org/', ''), '^doi:', '') as s from u)
+  select page_id, case when starts_with(s, '10.') then s else '' end as doi from v"""
+)
+def f1_doi(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    made = F.expr(
+        "concat(case page_id % 5 when 0 then 'https://doi.org/10.' when 1 then 'DOI:10.' when 2 then 'http://dx.doi.org/10.' when 3 then ' https://doi.org/doi:10.' else '11.' end, page_id, '/X')"
+    )
+    return p.select("page_id", fx.normalise_doi(made).alias("doi"))
+
+
+@register(f"with {td.PAPERS_SQL} select id, {TITLE_SQL.format('title')} as folded, {KEY_SQL.format('title')} as title_key from papers")
+def f2_f3_title_keys(spark, sf_dir):
+    return td.papers(spark, sf_dir).select("id", fx.normalise_title(F.col("title")).alias("folded"), fx.title_key(F.col("title")).alias("title_key"))
+
+
+def _hash_sql(*parts: str) -> str:
+    return "left(sha256(" + " || chr(31) || ".join(f"coalesce(({p})::varchar, '')" for p in parts) + "), 32)"
+
+
+@register(
+    f"with {td.PAPERS_SQL}, k as (select *, {KEY_SQL.format('title')} as key from papers) select id, case when key <> '' then ['title:' || key] else cast([] as varchar[]) end as keys, 't:' || left({_hash_sql('key')}, 16) as made_id, {_hash_sql('lower(trim(title))', 'year', 'abstract')} as content_hash from k"
+)
+def f4_f5_f6_f10_record_keys(spark, sf_dir):
+    p, none = td.papers(spark, sf_dir), F.lit("")
+    return p.select(
+        "id",
+        fx.dedup_keys(none, none, F.col("title")).alias("keys"),
+        fx.paper_id(none, none, F.col("title")).alias("made_id"),
+        fx.content_hash(F.lower(F.trim("title")), F.col("year"), F.col("abstract")).alias("content_hash"),
+    )
+
+
+@register("select doc_id, text as prose from documents")
+def f7_inverted_index_prose(spark, sf_dir):
+    """Texts rebuilt from an inverted index over single blanks: word to positions."""
+    d = table(spark, sf_dir, "documents")
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("w"), i.alias("p")))
+    placed = d.select("doc_id", F.explode(words).alias("x")).groupBy("doc_id", "x.w").agg(F.collect_list("x.p").alias("p"))
+    index = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("index"))
+    return index.select("doc_id", fx.abstract_from_index(F.col("index")).alias("prose"))
+
+
+@register(r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g')) as plain from pages")
+def f8_clean_markup(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fx.clean_markup(F.col("html")).alias("plain"))
+
+
+@register(r"select o_orderkey, try_cast(regexp_extract(o_orderdate::varchar, '\b(19[5-9][0-9]|20[0-4][0-9])\b', 1) as int) as year from orders")
+def f9_guess_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", fx.guess_year(F.col("o_orderdate").cast("string")).alias("year"))
+
+
+NAME_SQL = "trim(regexp_replace(regexp_replace(replace(replace(lower({0}), 'ß', 'ss'), '.', ''), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@register(
+    f"select p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') as slug, {NAME_SQL.format(chr(39).join(['p_name || ', ' ', ' || p_brand']))} as folded, p_name || ': ' || left(p_type, 200) as centroid from part"
+)
+def f11_f12_f14_concept_names(spark, sf_dir):
+    name = F.concat_ws(" ", "p_name", "p_brand")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", fx.slug(name).alias("slug"), fx.normalise_name(name).alias("folded"), F.concat("p_name", F.lit(": "), F.left("p_type", F.lit(200))).alias("centroid")
+    )
+
+
+@register(
+    f"""with f as (select doc_id, list_filter(string_split(trim(regexp_replace(translate(lower(text), '{metrics.MARKED}', '{metrics.PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') as w from documents)
+  select doc_id, array_to_string(case when len(w) > 0 and w[-1] like '%s' and w[-1] not like '%ss' and not list_contains({words_sql(fx.PLURAL_EXCEPTIONS)}, w[-1]) then list_append(w[1:len(w)-1], left(w[-1], length(w[-1]) - 1)) else w end, ' ') as key from f"""
+)
+def f13_comparison_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", metrics.comparison_key(F.col("text")).alias("key"))
+
+
+@register(
+    f"""select doc_id, len({TOKENS_SQL.format('text')}) as n_tokens,
+  list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 and not list_contains({words_sql(fx.QUESTION_STOP)}, t)))) as question_tokens,
+  list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}'))) as terms from documents"""
+)
+def f15_f16_f18_tokenizers(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(fx.rank_tokens(c)).cast("long").alias("n_tokens"), F.array_sort(fx.question_tokens(c)).alias("question_tokens"), F.array_sort(fx.content_terms(c)).alias("terms")
+    )
+
+
+@register("select p_partkey, p_name || ' ' || p_brand || ' ' || p_type as node_text, p_name || ' ' || p_name || ' ' || p_type as document_text from part")
+def f17_f34_search_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", fx.node_text(F.col("p_name"), F.array("p_brand"), F.col("p_type")).alias("node_text"), fx.document_text(F.col("p_name"), F.col("p_type")).alias("document_text")
+    )
+
+
+@register(
+    r"""select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') as sentences from documents"""
+)
+def f19_sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fx.sentences(F.col("text")).alias("sentences"))
+
+
+@register(
+    r"""with a as (select conv_id, turn, text || ' [P' || (conv_id % 3) || '] and [C' || turn || '] [P' || (conv_id % 3) || '].' as t from conversations)
+  select conv_id, turn, list_distinct(regexp_extract_all(t, '\[([PC][0-9]+)\]', 1)).list_sort() as cited from a"""
+)
+def f20_f21_citations(spark, sf_dir):
+    marked = F.concat("text", F.lit(" [P"), F.col("conv_id") % 3, F.lit("] and [C"), "turn", F.lit("] [P"), F.col("conv_id") % 3, F.lit("]."))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(fx.citations(marked)).alias("cited"))
+
+
+@register(
+    r"""select conv_id, turn, trim(regexp_replace(regexp_replace(text || ' [P1].', ' {2,}', ' ', 'g'), ' ([.,;])', '\1', 'g')) as checked, ['C9'] as unknown from conversations"""
+)
+def f39_checked_citations(spark, sf_dir):
+    answer = F.concat("text", F.lit(" [P1] [C9]."))
+    checked, unknown = fx.checked_citations(answer, F.array(F.lit("P1")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", checked.alias("checked"), unknown.alias("unknown"))
+
+
+LOW = r"lower(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
+
+
+@register(
+    f"select doc_id, {any_sql(LOW, STEMS_A)} and {any_sql(LOW, STEMS_B)} as prior_work, case "
+    + " ".join(f"when {any_sql('lower(text)', s)} then '{n}'" for n, s in THEMES)
+    + " else 'other' end as theme from documents"
+)
+def f22_f24_text_rules(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", fx.prior_work_limitation(c, STEMS_A, STEMS_B).alias("prior_work"), fx.classify_theme(c, THEMES).alias("theme"))
+
+
+@register(
+    "select item_id, case "
+    + " ".join("when " + " or ".join(f"regexp_matches(' ' || lower(trim(text)) || ' ', '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + f" then '{n}'" for n, ps in fx.QUESTION_RULES)
+    + " else 'full_report' end as kind from (select item_id, case item_id % 6 when 0 then 'how do these and those differ: ' when 1 then 'open problems in ' when 2 then 'trace the history of ' when 3 then 'major methods for ' when 4 then 'vs. ' else '' end || text as text from benchmark)"
+)
+def f23_classify_question(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    lead = F.expr(
+        "case item_id % 6 when 0 then 'how do these and those differ: ' when 1 then 'open problems in ' when 2 then 'trace the history of ' when 3 then 'major methods for ' when 4 then 'vs. ' else '' end"
+    )
+    return b.select("item_id", fx.classify_question(F.concat(lead, "text")).alias("kind"))
+
+
+@register(
+    f"""select doc_id, case when {any_sql('lower(text)', STEMS_A)} then list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z-]{{3,}}')), lambda w: length(w) > 4 and not list_contains({words_sql(STEMS_A)}, w))) else cast([] as varchar[]) end as signals from documents"""
+)
+def f25_closure_signals(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(fx.closure_signals(F.col("text"), STEMS_A)).alias("signals"))
+
+
+@register(
+    """select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score, len(a.embedding)::int as width,
+  round(sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])), 6) as norm from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"""
+)
+def f26_f27_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(fx.cosine(F.col("embedding"), F.col("next")), 6).alias("score"), F.size("embedding").alias("width"), F.round(norm, 6).alias("norm"))
+
+
+@register(r"""select event_id, regexp_extract('```json ' || props || ' ``` done', '(?s)\{.*\}', 0) as body, (props::json->>'k')::int as k from events""")
+def f29_extract_json(spark, sf_dir):
+    chatty = F.concat(F.lit("```json "), "props", F.lit(" ``` done"))
+    return table(spark, sf_dir, "events").select("event_id", fx.extract_json(chatty).alias("body"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@register(
+    rf"""with c as (select doc_id, text, trim(regexp_replace(text, '{WS}+', ' ', 'g')) as s from documents)
+  select doc_id, case when length(s) > 120 then left(s, 117) || '...' else s end as short, case when length(s) > 4000 then left(s, 4000) || ' [truncated]' else s end as prompt, left({_hash_sql('text')}, 12) as prompt_hash from c"""
+)
+def f30_f33_clipping(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", fx.clip(c).alias("short"), fx.prompt_body(c).alias("prompt"), fx.prompt_hash(c).alias("prompt_hash"))
+
+
+@register(
+    f"""with t as (select p_partkey, {TOKENS_SQL.format("p_name || ' ' || p_type")} as w from part)
+  select p_partkey, case when len(list_filter(w, lambda x: length(x) > 2)) > 0 then list_filter(w, lambda x: length(x) > 2) else w end as terms from t"""
+)
+def f35_concept_terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", fx.concept_terms(F.concat_ws(" ", "p_name", "p_type")).alias("terms"))
+
+
+TERMS = "list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9-]{{2,}}'))"
+
+
+@register(
+    f"""with t as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as prev from conversations),
+  u as (select conv_id, turn, list_filter({TERMS.format('text')}, lambda x: not list_contains({words_sql(fx.HEDGES)}, x)) as w, {TERMS.format('prev')} as e from t where prev is not null)
+  select conv_id, turn, case when len(w) >= 2 then len(list_intersect(w, e)) / len(w) >= 0.5 end as supported from u"""
+)
+def f36_claim_support(spark, sf_dir):
+    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").withColumn("prev", prev).where("prev is not null")
+    return rows.select("conv_id", "turn", fx.claim_supported(F.col("text"), F.col("prev")).alias("supported"))
+
+
+@register("select event_id, 'http|' || event_type || '|' || 'a=' || user_id || '&k=' || (props::json->>'k') as key from events")
+def s28_request_key(spark, sf_dir):
+    params = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("a"), F.col("user_id").cast("string"), F.lit("z"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", fx.request_key(F.lit("http"), F.col("event_type"), params).alias("key"))
+
+
+@register("select event_type as kind, user_id, arg_max(value, (ts, event_id)) as value from events group by all")
+def s29_keyed_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return dedup.last_per_key(e, ["event_type", "user_id"], "at").select(F.col("event_type").alias("kind"), "user_id", "value")
+
+
+# -- records ---------------------------------------------------------------------------------------------------------
+
+CLUSTERS_SQL = f"""{td.PAPERS_SQL}, keyed as (select *, {KEY_SQL.format('title')} as k1, {_hash_sql('abstract')} as k2 from papers),
+  pairs as (select ingest_seq as a, 'title:' || k1 as k from keyed where k1 <> '' union all select ingest_seq, 'hash:' || k2 from keyed),
+  links as (select distinct p.a as a, q.a as b from pairs p join (select k, min(a) as a from pairs group by k) q using (k)),
+  both_ways as (select a, b from links union select b, a from links),
+  walk(a, b) as (select a, b from both_ways union select w.a, l.b from walk w join both_ways l on w.b = l.a),
+  cluster as (select k.ingest_seq as seq, coalesce(min(w.b), k.ingest_seq) as cluster from keyed k left join walk w on k.ingest_seq = w.a group by k.ingest_seq)"""
+
+
+def _keyed_papers(spark, sf_dir):
+    p = td.papers(spark, sf_dir)
+    native = F.create_map(F.lit("hash"), fx.content_hash(F.col("abstract")))
+    return p.withColumn("keys", dedup.match_keys(F.lit(""), F.lit(""), F.col("title"), F.lit(None).cast("string"), native))
+
+
+@register(f"with recursive {CLUSTERS_SQL} select seq, cluster from cluster")
+def j1_g1_record_clusters(spark, sf_dir):
+    return dedup.clusters(_keyed_papers(spark, sf_dir))
+
+
+@register(
+    f"""with recursive {CLUSTERS_SQL}, r as (select * from papers join cluster on ingest_seq = seq)
+  select cluster, arg_min(id, seq) as id, arg_min(title, seq) as title, arg_max(abstract, (length(abstract), -seq)) as abstract, arg_min(year, seq) as year, max(citation_count) as citation_count,
+    list_sort(list_distinct(flatten(list(sources)))) as sources, list_sort(list_distinct(flatten(list(keywords)))) as keywords, count(*) as n_records from r group by cluster"""
+)
+def a1_u4_merged_records(spark, sf_dir):
+    p = _keyed_papers(spark, sf_dir)
+    out = dedup.merged(p, dedup.clusters(p))
+    return out.withColumns({"sources": F.array_sort("sources"), "keywords": F.array_sort("keywords")})
+
+
+@register()
+def j1_first_match_fold(spark, sf_dir):
+    p = _keyed_papers(spark, sf_dir)
+    return dedup.first_match(p, dedup.clusters(p))
+
+
+@register("select source, count(*) as n from documents group by 1")
+def a2_source_yield(spark, sf_dir):
+    return td.papers(spark, sf_dir).select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    """with r as (select 'order:' || o_orderkey as id, 0 as pos, case o_orderkey % 4 when 0 then o_custkey::varchar when 1 then 's2:' || o_custkey when 2 then 'order:' || o_orderkey else 'none' end as ref from orders)
+  select id, pos, ref, case when starts_with(ref, 's2:') then 'cust:' || ref[4:] when regexp_full_match(ref, '[0-9]+') then 'cust:' || ref end as target from r"""
+)
+def j2_j3_resolve_references(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    ref = F.expr("case o_orderkey % 4 when 0 then cast(o_custkey as string) when 1 then concat('s2:', o_custkey) when 2 then concat('order:', o_orderkey) else 'none' end")
+    refs = o.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit(0).alias("pos"), ref.alias("ref"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("s2:"), "c_custkey").alias("key"), F.concat(F.lit("cust:"), "c_custkey").alias("target"))
+    own = o.select(F.concat(F.lit("order:"), "o_orderkey").alias("key"), F.concat(F.lit("order:"), "o_orderkey").alias("target"))
+    return dedup.resolve_references(refs, c.unionByName(own))
+
+
+@register(f"with {td.PAPERS_SQL} select id from papers order by (abstract <> '' and year is not null) desc, citation_count desc, id limit 300")
+def w6_candidate_window(spark, sf_dir):
+    return dedup.candidate_window(td.papers(spark, sf_dir), 100).select("id")
+
+
+@register(
+    f"""with {td.PAPERS_SQL}, s as (select p.*, case when doc_id is null then null when quality = 1 then 4 else 2 end as score from papers p left join labels on ingest_seq = doc_id)
+  select id from s where coalesce(nullif(score, 0), 3) >= 3 order by coalesce(score, 0) desc, (abstract <> '' and year is not null) desc, citation_count desc, ingest_seq limit 100"""
+)
+def p1_w7_trim(spark, sf_dir):
+    scores = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ingest_seq"), F.when(F.col("quality") == 1, 4).otherwise(2).alias("relevance_score"))
+    return dedup.trimmed(td.papers(spark, sf_dir).join(scores, "ingest_seq", "left"), 100).select("id")
+
+
+@register(
+    "select case when quality is null then 'unscored' else quality::varchar end as score, count(*) as n from documents d left join (select doc_id, max(quality) as quality from labels group by 1) l using (doc_id) group by 1"
+)
+def a8_relevance_histogram(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents").join(lab, "doc_id", "left")
+    return d.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unscored")).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("select id, (row_number() over (order by id) - 1) // 10 as chunk, 3 as score from (select doc_id as id from documents)")
+def a9_score_batches(spark, sf_dir):
+    from citemill.operators.boundary import scored_in_batches
+
+    return scored_in_batches(_docs(spark, sf_dir))
+
+
+@register("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def j11_u1_held_out(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@register(f"with {td.PAPERS_SQL} select count(*) as papers, count(*) filter (where abstract <> '') as abstracts, count(*) filter (where year is not null) as years from papers")
+def a12_corpus_stats(spark, sf_dir):
+    return td.papers(spark, sf_dir).agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("abstract") != "").alias("abstracts"), F.count_if(F.col("year").isNotNull()).alias("years"))
+
+
+# -- graph -----------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark, sf_dir):
+    nodes = graph.make_nodes(td.graph_papers(spark, sf_dir), td.concepts(spark, sf_dir))
+    edges, refused, dropped = graph.make_edges(td.relations(spark, sf_dir), nodes)
+    return nodes, edges, refused, dropped
+
+
+@register(f"with {td.GRAPH_SQL} select id, type, label, year from nodes")
+def g9_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].select("id", "type", "label", "year")
+
+
+@register(f"with {td.GRAPH_SQL} select * from edges")
+def j5_j6_p3_g10_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@register(f"with {td.GRAPH_SQL} select distinct src, dst, r.type from relations r join nodes a on src = a.id join nodes b on dst = b.id where r.type in ('EXTENDS', 'REPLACES') and a.year >= b.year")
+def p3_dropped_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[3]
+
+
+@register(f"with {td.GRAPH_SQL} select 'node' as kind, type, count(*) as n from nodes group by rollup(type) union all select 'edge', type, count(*) from edges group by rollup(type)")
+def a11_graph_stats(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return graph.graph_stats(nodes, edges)
+
+
+DEGREES_SQL = """deg as (select n.id, n.label, n.year,
+    (select count(distinct src) from edges e where e.dst = n.id and e.type = 'USES') as used_by,
+    (select count(distinct src) from edges e where e.dst = n.id and e.type in ('EXTENDS', 'REPLACES')) as lineage_in,
+    (select count(distinct dst) from edges e where e.src = n.id and e.type in ('EXTENDS', 'REPLACES')) as lineage_out,
+    (select count(distinct src) from edges e where e.dst = n.id) + (select count(distinct dst) from edges e where e.src = n.id) as degree
+  from nodes n where n.type = 'Concept')"""
+
+
+@register(f"with {td.GRAPH_SQL}, {DEGREES_SQL} select id, used_by, lineage_in, lineage_out, degree from deg")
+def a13_a14_a15_degrees(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return graph.degrees(nodes, edges)
+
+
+@register(f"with {td.GRAPH_SQL}, {DEGREES_SQL} select id, label as name, year from deg where lineage_in = 0 and year <= (select max(nullif(year, 0)) from nodes) - 3")
+def p5_a16_structural_gaps(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return graph.structural_gaps(nodes, edges)
+
+
+PART_QUESTIONS = ((1, "How did small brushed copper evolve"), (2, "compare promo plated tin and economy nickel"), (3, "Brand#12 steel gaps"))
+QTOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 1 and not list_contains(" + words_sql(fx.QUESTION_STOP) + ", t)))"
+FIND_SQL = (
+    "q(question_id, question) as (values "
+    + ", ".join(f"({i}, '{q}')" for i, q in PART_QUESTIONS)
+    + f"""), qt as (select question_id, {QTOK.format('question')} as w from q), want as (select question_id, len(w) as n, unnest(w) as word from qt),
+  have as (select id, {QTOK.format('name')} as nm, {QTOK.format('aliases[1]')} as al, unnest({QTOK.format("name || ' ' || aliases[1] || ' ' || description")}) as word from concepts),
+  sc as (select question_id, id, sum(case when list_contains(nm, word) then 1.0 when list_contains(al, word) then 0.6 else 0.25 end)::double / max(n) as score, max(n) as n from want join have using (word) group by 1, 2),
+  rk as (select *, row_number() over (partition by question_id order by round(score, 9) desc, id) as rank, max(score) over (partition by question_id) as best from sc),
+  found as (select question_id, id, round(score, 6) as score, rank::int as rank from rk where rank <= 3 and score >= best * 0.6 - 1e-12 and score >= 0.6 / greatest(n, 1) - 1e-12)"""
+)
+
+
+@register(f"with {td.CONCEPTS_SQL}, {FIND_SQL} select * from found")
+def w9_p2_find_concepts(spark, sf_dir):
+    nodes = graph.make_nodes(td.graph_papers(spark, sf_dir), td.concepts(spark, sf_dir))
+    return graph.find_concepts(nodes, spark.createDataFrame(list(PART_QUESTIONS), "question_id int, question string"), 3)
+
+
+PAPERS_ON = "select e.src as id from edges e join {0} c on e.dst = c.id join nodes n on n.id = e.src where n.type = 'Paper' union select e.dst from edges e join {0} c on e.src = c.id join nodes n on n.id = e.dst where n.type = 'Paper'"
+LINE_SQL = "line as (select distinct src, dst from edges where type in ('EXTENDS', 'REPLACES')), bothline as (select src, dst from line union select dst, src from line)"
+
+
+@register(
+    f"""with recursive {td.GRAPH_SQL}, {FIND_SQL}, {LINE_SQL}, seed as (select id from found where question_id = 1 and rank = 1),
+  walk(id, d) as (select id, 0 from seed union select l.dst, d + 1 from walk w join bothline l on l.src = w.id where d < 3), chain as (select distinct id from walk)
+  select id from chain union {PAPERS_ON.format('chain')}"""
+)
+def g3_j15_lineage_slice(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return traverse.lineage(nodes, edges, PART_QUESTIONS[0][1])
+
+
+@register(
+    f"""with recursive {td.GRAPH_SQL}, {FIND_SQL}, {LINE_SQL}, a as (select id from found where question_id = 2 and rank = 1), b as (select id from found where question_id = 2 and rank = 2),
+  ua(id) as (select src from line join a on dst = a.id union select src from line join ua on dst = ua.id), ub(id) as (select src from line join b on dst = b.id union select src from line join ub on dst = ub.id),
+  da(id) as (select dst from line join a on src = a.id union select dst from line join da on src = da.id), db(id) as (select dst from line join b on src = b.id union select dst from line join db on src = db.id),
+  shared as (select id from ua intersect select id from ub), pa as ({PAPERS_ON.format('a')}), pb as ({PAPERS_ON.format('b')}),
+  alls as (select id, 'both' as side from shared union all select id, 'first' from ((select id from ua except select id from shared) union (select id from da except select id from b except select id from ub) union select id from a)
+    union all select id, 'second' from ((select id from ub except select id from shared) union (select id from db except select id from a except select id from ua) union select id from b)
+    union all select id, 'paper' from (select id from pa intersect select id from pb))
+  select id, min(side) as side from alls group by id"""
+)
+def g4_u3_comparison_slice(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return traverse.comparison(nodes, edges, PART_QUESTIONS[1][1])
+
+
+POOL_SQL = """area as (select id from found where question_id = 3 and rank <= 2),
+  pp as (select distinct e.src as id from edges e join area a on e.dst = a.id join nodes n on n.id = e.src where n.type = 'Paper'),
+  pool as (select id from area union select e.dst from edges e join pp on e.src = pp.id join nodes n on n.id = e.dst where n.type = 'Concept')"""
+
+
+@register(
+    f"""with {td.GRAPH_SQL}, {FIND_SQL}, {DEGREES_SQL}, {POOL_SQL},
+  s as (select d.id, year, (case when d.id in (select dst from edges where type = 'HAS_LIMITATION') then 10 else 0 end) + (case when lineage_in = 0 and year > 0 then 3 else 0 end) as score from deg d join pool using (id))
+  select id, score::int as score from s where score > 0 order by score desc, year desc, id limit 8"""
+)
+def g5_w14_gap_slice(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return traverse.gap_candidates(nodes, edges, PART_QUESTIONS[2][1])
+
+
+@register(f"with {td.GRAPH_SQL}, {FIND_SQL}, {DEGREES_SQL}, {POOL_SQL}, t as (select d.id, used_by from deg d join pool using (id) order by used_by desc, id limit 8) select * from t where used_by > 0 or (select max(used_by) from t) = 0")
+def g6_w15_approaches_slice(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return traverse.approach_candidates(nodes, edges, PART_QUESTIONS[2][1])
+
+
+NEWEST_SQL = "newest as (select id from nodes where type = 'Paper' order by year desc, label, id limit 40)"
+REPORT_SQL = "keep as (select id from newest union select e.dst from edges e join newest n on e.src = n.id join nodes c on c.id = e.dst where c.type = 'Concept' union select id from deg where lineage_in > 0 or used_by > 0)"
+
+
+@register(f"with {td.GRAPH_SQL}, {DEGREES_SQL}, {NEWEST_SQL}, {REPORT_SQL} select id from keep")
+def g7_full_report_slice(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return traverse.full_report(nodes, edges)
+
+
+@register(
+    f"""with {td.GRAPH_SQL}, {NEWEST_SQL}, k as (select id from newest union select e.dst from edges e join newest n on e.src = n.id)
+  select n.id, case when type = 'Paper' then 'P' else 'C' end || row_number() over (partition by type order by case when type = 'Paper' then -year end, case when type = 'Paper' then label end, n.id) as mark from nodes n join k using (id)"""
+)
+def w1_g11_labels(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    newest = nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select("id")
+    keep = newest.unionByName(edges.join(newest.toDF("src"), "src", "left_semi").select(F.col("dst").alias("id")))
+    return graph.labelled(graph.induced(nodes, edges, keep)[0]).select("id", "mark")
+
+
+@register(f"with {td.GRAPH_SQL}, {NEWEST_SQL} select src, dst, type from edges where src in (select id from newest) and dst in (select id from newest)")
+def k5_induced_subgraph(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    newest = nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select("id")
+    return graph.induced(nodes, edges, newest)[1].select("src", "dst", "type")
+
+
+# -- names, relations ------------------------------------------------------------------------------------------------
+
+
+def _mentions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(
+        F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_partkey").cast("string").alias("paper_id"), F.col("p_type").alias("description"), F.col("p_size").alias("year"), F.col("p_partkey").alias("seq")
+    )
+
+
+@register(
+    f"""with m as (select p_name || ' ' || p_brand as name, p_partkey::varchar as paper_id, p_type as description, p_size as year, p_partkey as seq from part), k as (select *, {NAME_SQL.format('name')} as key from m),
+  v as (select key, name, count(*) as n from k group by 1, 2), b as (select key, arg_max(name, (n, length(name), name)) as name from v group by 1)
+  select key, any_value(b.name) as name, count(*) as n, min(seq) as first, min(year) as year, left(arg_max(description, (length(description), -seq)), 200) as description, list_sort(list_distinct(list(k.name))) as aliases, list_sort(list(paper_id)) as paper_ids
+  from k join b using (key) group by key"""
+)
+def a3_a4_a5_a6_name_groups(spark, sf_dir):
+    out = resolve.name_groups(_mentions(spark, sf_dir))
+    return out.withColumns({"aliases": F.array_sort("aliases"), "paper_ids": F.array_sort("paper_ids")})
+
+
+PAIRS_SQL = "pairs as (select a.vec_id as i, b.vec_id as j, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where score >= 0.35)"
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("v"))
+
+
+@register(f"with {PAIRS_SQL} select i, j, round(score, 6) as score from pairs")
+def j8_similar_pairs(spark, sf_dir):
+    return resolve.similar_pairs(_vectors(spark, sf_dir), 0.35).withColumn("score", F.round("score", 6))
+
+
+@register(
+    f"""with recursive {PAIRS_SQL}, near as (select i, j from pairs where score >= 0.45), both_ways as (select i, j from near union select j, i from near),
+  walk(i, j) as (select i, j from both_ways union select w.i, b.j from walk w join both_ways b on w.j = b.i) select i as id, least(min(j), i) as component from walk group by i"""
+)
+def g2_entity_components(spark, sf_dir):
+    return resolve.entities(resolve.decisions(resolve.similar_pairs(_vectors(spark, sf_dir), 0.35), 0.45))
+
+
+@register(
+    f"""with {PAIRS_SQL}, r as (select *, row_number() over (order by score desc, i, j) as k from pairs where score < 0.45)
+  select i, j, round(score, 6) as score, 'same' as decision, 'auto-similarity' as rule from pairs where score >= 0.45 union all select i, j, round(score, 6), 'different', case when k <= 40 then 'judge' else 'over-budget' end from r"""
+)
+def g2_merge_decisions(spark, sf_dir):
+    return resolve.decisions(resolve.similar_pairs(_vectors(spark, sf_dir), 0.35), 0.45).withColumn("score", F.round("score", 6))
+
+
+INDEX_SQL = f"idx as (select key, arg_min(id, (seq, pos)) as id from (select id, seq, 0 as pos, {NAME_SQL.format('name')} as key from concepts union all select id, seq, 1, {NAME_SQL.format('aliases[1]')} from concepts) where key <> '' group by 1)"
+
+
+@register(f"with {td.CONCEPTS_SQL}, {INDEX_SQL} select * from idx")
+def j4_name_index(spark, sf_dir):
+    return resolve.name_index(td.concepts(spark, sf_dir))
+
+
+def _extractions(spark, sf_dir):
+    """One extraction per order: its parts as mentions, by line; a relation by the order's key."""
+    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    named = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
+    role = F.expr("case when l_linenumber = 1 then 'introduces' when l_returnflag = 'R' then 'Limitation ' else 'uses' end")
+    grouped = named.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", F.when(F.col("l_linenumber") == 3, "nowhere").otherwise(F.col("p_name")).alias("name"), role.alias("role")))).alias("concepts"),
+        F.min_by("p_brand", F.struct("l_linenumber", "p_partkey")).alias("brand"),
+    )
+    relation = F.expr("case l_orderkey % 6 when 0 then 'extends' when 1 then 'replaces' when 2 then 'combines' when 3 then 'critiques' when 4 then 'applies-to-new-domain' end")
+    return grouped.select(
+        F.concat(F.lit("order:"), "l_orderkey").alias("paper_id"), "concepts", relation.alias("relation"), F.when(F.col("l_orderkey") % 5 == 0, "unheard of").otherwise(F.col("brand")).alias("relation_target"),
+        F.when(F.col("l_orderkey") % 7 == 0, F.array("brand", F.lit("other"))).otherwise(F.array().cast("array<string>")).alias("builds_on"),
+    )
+
+
+EXTRACTIONS_SQL = """men as (select 'order:' || l_orderkey as paper_id, l_orderkey, (l_linenumber, p_partkey) as ln, case when l_linenumber = 3 then 'nowhere' else p_name end as name, p_brand,
+    case when l_linenumber = 1 then 'introduces' when l_returnflag = 'R' then 'Limitation ' else 'uses' end as role from lineitem join part on l_partkey = p_partkey),
+  ex as (select paper_id, l_orderkey, case l_orderkey % 6 when 0 then 'extends' when 1 then 'replaces' when 2 then 'combines' when 3 then 'critiques' when 4 then 'applies-to-new-domain' end as relation,
+    case when l_orderkey % 5 = 0 then 'unheard of' else arg_min(p_brand, ln) end as target, arg_min(p_brand, ln) as brand from men group by paper_id, l_orderkey),
+  bo as (select paper_id, unnest([brand, 'other']) as name from ex where l_orderkey % 7 = 0)"""
+REL_SQL = f"""met as (select m.*, i.id from men m left join idx i on i.key = {NAME_SQL.format('m.name')}), kids as (select distinct paper_id, id as child from met where role = 'introduces' and id is not null),
+  tg as (select ex.*, i.id as parent from ex left join idx i on i.key = {NAME_SQL.format('ex.target')} where relation is not null),
+  bb as (select bo.*, i.id from bo left join idx i on i.key = {NAME_SQL.format('bo.name')}),
+  rel as (select paper_id as src, id as dst, case lower(trim(role)) when 'introduces' then 'INTRODUCES' when 'limitation' then 'HAS_LIMITATION' else 'USES' end as type, paper_id || ': role=' || role as evidence from met where id is not null
+    union all select parent, child, case relation when 'extends' then 'EXTENDS' when 'replaces' then 'REPLACES' else 'COMBINES_WITH' end, paper_id || ': ' || relation || ' ' || target from tg join kids using (paper_id) where parent is not null and relation in ('extends', 'replaces', 'combines')
+    union all select paper_id, parent, case relation when 'critiques' then 'HAS_LIMITATION' else 'USES' end, paper_id || ': ' || relation || ' ' || target from tg where parent is not null and relation in ('critiques', 'applies-to-new-domain')
+    union all select id, child, 'EXTENDS', paper_id || ': builds_on ' || name from bb join kids using (paper_id) where id is not null),
+  lost as (select paper_id, name, 'concept:' || role as origin from met where id is null union select paper_id, target, 'relation' from tg where parent is null union select paper_id, '', 'relation:' || relation from tg where parent is null
+    union select paper_id, name, 'builds_on' from bb where id is null)"""
+
+
+@register(f"with {td.CONCEPTS_SQL}, {INDEX_SQL}, {EXTRACTIONS_SQL}, {REL_SQL} select * from rel")
+def j13_derived_relations(spark, sf_dir):
+    return resolve.derived_relations(_extractions(spark, sf_dir), resolve.name_index(td.concepts(spark, sf_dir)))[0]
+
+
+@register(f"with {td.CONCEPTS_SQL}, {INDEX_SQL}, {EXTRACTIONS_SQL}, {REL_SQL} select * from lost")
+def j14_unresolved_names(spark, sf_dir):
+    return resolve.derived_relations(_extractions(spark, sf_dir), resolve.name_index(td.concepts(spark, sf_dir)))[1]
+
+
+# -- gaps ------------------------------------------------------------------------------------------------------------
+
+
+def _limitations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    ex = d.where("doc_id % 3 = 0").select(F.concat(F.lit("doc:"), "doc_id").alias("paper_id"), F.col("text").alias("stated_limitation"))
+    return gaps.limitation_rows(ex, td.papers(spark, sf_dir).where("ingest_seq % 2 = 0"), THEMES)
+
+
+THEME_CASE = "case " + " ".join(f"when {any_sql('lower(l.text)', s)} then '{n}'" for n, s in THEMES) + " else 'other' end"
+LIMITS_SQL = f"""{td.PAPERS_SQL}, lim as (select 'doc:' || doc_id as paper_id, l.text as limitation, coalesce(p.title, 'doc:' || doc_id) as title, p.year, {THEME_CASE} as theme
+  from documents l left join papers p on p.id = 'doc:' || doc_id and p.ingest_seq % 2 = 0 where doc_id % 3 = 0 and l.text <> '')"""
+
+
+@register(f"with {LIMITS_SQL} select paper_id, title, year, theme, 'L' || row_number() over (order by coalesce(year, 0) desc, paper_id) as mark from lim")
+def j7_w2_limitation_rows(spark, sf_dir):
+    return _limitations(spark, sf_dir).drop("limitation")
+
+
+@register(f"with {LIMITS_SQL} select theme, count(*) as n, max(year) as newest from lim group by 1")
+def a10_themes(spark, sf_dir):
+    return gaps.themes(_limitations(spark, sf_dir))
+
+
+@register(
+    f"""with {td.GRAPH_SQL}, {DEGREES_SQL}, {LIMITS_SQL} select 'stated' as kind, theme as title, round(least(count(*), 5) + greatest(0, (coalesce(max(year), 0) - 2000) / 30), 6)::double as score from lim group by theme
+  union all select 'structural', label, round(1 + greatest(0, (year - 2000) / 30), 6)::double from deg where lineage_in = 0 and year <= (select max(nullif(year, 0)) from nodes) - 3"""
+)
+def w3_w4_ranked_gaps(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return gaps.ranked(gaps.themes(_limitations(spark, sf_dir)), graph.structural_gaps(nodes, edges))
+
+
+GW = "list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z-]{{3,}}'))"
+
+
+@register(
+    f"""with g as (select item_id as gap, {GW.format('text')} as w, 2000 + item_id % 20 as newest from benchmark), gw as (select gap, newest, unnest(w) as word from g),
+  c as (select 'doc:' || doc_id as paper_id, (1995 + doc_id % 30)::int as y, list_filter({GW.format('text')}, lambda w: length(w) > 4 and not list_contains({words_sql(STEMS_A)}, w)) as w from documents where {any_sql('lower(text)', STEMS_A)}),
+  cw as (select paper_id, y, unnest(w) as word from c), m as (select gap, paper_id, y, list_sort(list_distinct(list(word))) as shared from gw join cw using (word) where y > newest and paper_id <> 'doc:' || gap group by 1, 2, 3 having len(shared) >= 2)
+  select gap, arg_min(paper_id, (y, paper_id)) as closer, arg_min(shared, (y, paper_id)) as shared from m group by 1"""
+)
+def j10_suppressed_gaps(spark, sf_dir):
+    g = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("gap"), "text", (2000 + F.col("item_id") % 20).cast("int").alias("newest"), F.array(F.concat(F.lit("doc:"), "item_id")).alias("sources"))
+    c = td.papers(spark, sf_dir).select(F.col("id").alias("paper_id"), "year", F.col("abstract").alias("text"))
+    return gaps.suppressed(g, c, STEMS_A)
+
+
+# -- evaluation ------------------------------------------------------------------------------------------------------
+
+
+@register(
+    """with p as (select distinct l_partkey as key from lineitem where l_returnflag = 'R'), a as (select distinct l_partkey as key from lineitem where l_quantity > 45),
+  c as (select count(*) filter (where p.key is not null and a.key is not null) as tp, count(*) filter (where a.key is null) as fp, count(*) filter (where p.key is null) as fn from p full join a on p.key = a.key)
+  select tp, fp, fn, round(tp / (tp + fp), 4) as precision, round(tp / (tp + fn), 4) as recall, round(2 * tp / (2 * tp + fp + fn), 4) as f1 from c"""
+)
+def a18_a19_u2_set_scores(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return metrics.score_items(li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("key")), li.where("l_quantity > 45").select(F.col("l_partkey").alias("key")))
+
+
+def _ckey(c: str) -> str:
+    w = f"list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    return f"array_to_string(case when ({w})[-1] like '%s' and ({w})[-1] not like '%ss' and not list_contains({words_sql(fx.PLURAL_EXCEPTIONS)}, ({w})[-1]) then list_append(({w})[1:len({w})-1], left(({w})[-1], length(({w})[-1]) - 1)) else {w} end, ' ')"
+
+
+@register(
+    f"""with p as (select distinct p_name || 's' as name from part where p_size > 20), r as (select distinct upper(p_name) as name from part where p_size <= 40),
+  pk as (select {_ckey('name')} as key, any_value(name) as name from p group by 1 having count(*) = 1), rk as (select {_ckey('name')} as key, any_value(name) as reference from r group by 1 having count(*) = 1) select name, reference from pk join rk using (key)"""
+)
+def j9_match_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return metrics.match_names(p.where("p_size > 20").select(F.concat("p_name", F.lit("s")).alias("name")), p.where("p_size <= 40").select(F.upper("p_name").alias("name")))
+
+
+@register(
+    f"""with recursive {td.GRAPH_SQL}, pred as (select src, dst, type from edges where type in ('EXTENDS', 'REPLACES')), ref as (select distinct src, dst, type from relations where type in ('EXTENDS', 'REPLACES') and (right(dst, 1) in ('1', '2', '3', '5'))),
+  nm as (select id from concepts where seq % 10 <> 0), ok as (select distinct p.* from pred p join nm a on src = a.id join nm b on dst = b.id), tp as (select count(*) as n from (select * from ok intersect select * from ref))
+  select n as tp, (select count(*) from ok) - n as fp, (select count(*) from ref) - n as fn, round(n / (select count(*) from ok), 4) as precision, round(n / (select count(*) from ref), 4) as recall,
+    round(2 * n / ((select count(*) from ok) + (select count(*) from ref)), 4) as f1, (select count(*) from pred) - (select count(*) from ok) as unmatched from tp"""
+)
+def j17_a20_edge_scores(spark, sf_dir):
+    _, edges, *_ = _graph(spark, sf_dir)
+    line = F.col("type").isin("EXTENDS", "REPLACES")
+    ref = td.relations(spark, sf_dir).where(line & F.right("dst", F.lit(1)).isin("1", "2", "3", "5"))
+    names = td.concepts(spark, sf_dir).where("seq % 10 <> 0").select(F.col("id").alias("name"), F.col("id").alias("reference"))
+    return metrics.score_edges(edges.where(line).select("src", "dst", "type"), ref, names)
+
+
+@register("select event_type, case when count(v) = count(*) then round(avg(v), 6) end as mean, round(count(v) / count(*), 6) as coverage from (select event_type, case when event_type = 'error' and event_id % 9 = 0 then null else value end as v from events) group by 1")
+def a21_strict_mean(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("v", F.when(~((F.col("event_type") == "error") & (F.col("event_id") % 9 == 0)), F.col("value")))
+    return e.groupBy("event_type").agg(F.round(fx.strict_avg(F.col("v")), 6).alias("mean"), F.round(F.count("v") / F.count(F.lit(1)), 6).alias("coverage"))
+
+
+@register()
+def p4_v3_a22_gap_verdicts(spark, sf_dir):
+    """Verdicts on part names as gaps, against the unlabelled documents as held-out papers (BM25 of 3.0 or more, later by a year)."""
+    held = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    papers = held.select(F.col("doc_id").alias("id"), "text", (1995 + F.col("doc_id") % 30).alias("year"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (1990 + F.col("item_id") % 30).alias("seen"))
+    scores = rank.bm25_scores(papers, b).where("score >= 3.0").join(papers.select("id", "year"), "id").join(b.select("query_id", "seen"), "query_id")
+    hits = scores.where("year - seen >= 1").select(F.col("query_id").alias("id"))
+    n = held.limit(5).count()
+    return metrics.verdict_summary(metrics.gap_verdicts(hits, b.select(F.col("query_id").alias("id")), n))
+
+
+_H = "held as (select doc_id as id, text, 1995 + doc_id % 30 as year from documents where doc_id not in (select doc_id from labels))"
+SQL["p4_v3_a22_gap_verdicts"] = f"""with {_H}, tok as (select id, year, {TOKENS_SQL.format('text')} as w from held), st as (select count(*) as n, avg(len(w)) as mean from tok),
+  want as (select item_id, seen, word, count(*) as times from (select item_id, 1990 + item_id % 30 as seen, unnest({TOKENS_SQL.format('text')}) as word from benchmark) group by 1, 2, 3),
+  uses as (select id, year, len(w) as l, unnest(w) as word from tok), tf as (select id, year, l, word, count(*) as tf from uses group by 1, 2, 3, 4), df as (select word, count(*) as df from tf group by 1),
+  sc as (select item_id, id, any_value(year - seen) as later, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))), 6) as score from tf join df using (word) join want using (word) cross join st group by 1, 2),
+  v as (select b.item_id, bool_or(coalesce(score >= 3.0 and later >= 1, false)) as hit from benchmark b left join sc using (item_id) group by 1)
+  select count(*) filter (where not hit) as confirmed, count(*) filter (where hit) as refuted, 0::bigint as not_testable, round(count(*) filter (where hit) / count(*), 4) as refuted_rate from v"""
+
+
+@register(
+    f"""with t as (select conv_id, turn, text || ' [P' || turn % 3 || '].' as answer, lag(text) over (partition by conv_id order by turn) || ' [P1]' as evidence from conversations), a as (select * from t where evidence is not null),
+  s as (select conv_id, turn, evidence, unnest(list_filter(list_transform(string_split(regexp_replace(answer, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')) as s from a),
+  u as (select conv_id, turn, list_filter({TERMS.format('s')}, lambda x: not list_contains({words_sql(fx.HEDGES)}, x)) as w, {TERMS.format('evidence')} as e from s),
+  ok as (select conv_id, turn, avg(case when len(list_intersect(w, e)) / len(w) >= 0.5 then 1.0 else 0.0 end) as support from u where len(w) >= 2 group by 1, 2)
+  select a.conv_id || ':' || a.turn as answer_id, case when a.turn % 3 = 1 then 1.0 else 0.0 end::double as citation_validity, round(support, 6) as citation_support, null::double as completeness from a left join ok using (conv_id, turn)"""
+)
+def a28_rubric(spark, sf_dir):
+    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("answer_id"), F.concat("text", F.lit(" [P"), F.col("turn") % 3, F.lit("].")).alias("answer"), F.concat(prev, F.lit(" [P1]")).alias("evidence")
+    )
+    return metrics.rubric(c.where("evidence is not null"))
+
+
+@register(
+    """with s as (select event_type as dimension, case when user_id % 2 = 0 then 'graph' else 'rag' end as system, case when event_type = 'view' and event_id % 50 = 0 then null else value end as value from events),
+  m as (select dimension, case when count(*) filter (where system = 'graph' and value is null) = 0 then avg(value) filter (where system = 'graph') end as g, case when count(*) filter (where system = 'rag' and value is null) = 0 then avg(value) filter (where system = 'rag') end as r from s group by 1)
+  select dimension, round(g, 6) as graph, round(r, 6) as rag, round(g - r, 6) as delta, case when g - r is null then 'unknown' when abs(g - r) < 1e-9 then 'tie' when g > r then 'graph' else 'rag' end as favours from m"""
+)
+def a23_compare_arms(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    value = F.when(~((F.col("event_type") == "view") & (F.col("event_id") % 50 == 0)), F.col("value"))
+    return metrics.compare_arms(e.select(F.col("event_type").alias("dimension"), F.when(F.col("user_id") % 2 == 0, "graph").otherwise("rag").alias("system"), value.alias("value")))
+
+
+@register(
+    """with c as (select event_type as stage, event_id % 100 as tokens_in, case when event_type = 'click' and event_id % 40 = 0 then null else event_id % 30 end as tokens_out, case event_id % 2 when 0 then 'flash' else 'lite' end as model from events),
+  p(model, pin, pout) as (values ('flash', 0.30, 2.50), ('lite', 0.10, 0.40))
+  select stage, count(*) as calls, sum(tokens_in)::bigint as tokens_in, case when count(tokens_out) = count(*) then sum(tokens_out)::bigint end as tokens_out, case when count(tokens_out) = count(*) then round(sum(tokens_in * pin + tokens_out * pout)::double / 1e6, 4) end as usd from c join p using (model) group by 1"""
+)
+def a24_a25_a26_f28_usage(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    out = F.when(~((F.col("event_type") == "click") & (F.col("event_id") % 40 == 0)), F.col("event_id") % 30)
+    calls = e.select(F.col("event_type").alias("stage"), (F.col("event_id") % 100).alias("tokens_in"), out.alias("tokens_out"), F.when(F.col("event_id") % 2 == 0, "flash").otherwise("lite").alias("model"))
+    prices = spark.createDataFrame([("flash", 0.30, 2.50), ("lite", 0.10, 0.40)], "model string, per_in double, per_out double")
+    return metrics.usage_by_stage(calls, prices).withColumn("usd", F.round("usd", 4))
+
+
+@register("select reason, event_id from (select event_type as reason, event_id, row_number() over (partition by event_type order by event_id) as r from events) where r <= 3")
+def a30_failure_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("reason"), F.col("event_id").alias("seq"))
+    return metrics.failure_log(e)[0].withColumnRenamed("seq", "event_id")
+
+
+PHASE_SQL = "case event_type when 'view' then 1 when 'click' then 2 when 'purchase' then 3 when 'error' then 4 else 5 end"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("seq"), F.expr(PHASE_SQL).alias("phase"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("counter"), F.concat("event_id", F.lit(";")).alias("delta")
+    )
+
+
+@register(
+    f"""select user_id as run_id, count(*) as n_events, max({PHASE_SQL})::int as furthest, arg_max({PHASE_SQL}, (ts, event_id))::int as current, arg_max((props::json->>'k')::bigint, (ts, event_id)) as counter,
+  string_agg(event_id || ';', '' order by ts, event_id) as answer, count(*) filter (where event_type = 'error') as errors from events group by 1"""
+)
+def t3_t6_t8_event_fold(spark, sf_dir):
+    from citemill.streaming.fold import fold
+
+    return fold(_events(spark, sf_dir))
+
+
+@register("select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 500")
+def w11_log_tail(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return e.withColumn("r", r).where("r <= 500").select("user_id", "event_id")
+
+
+@register(
+    """select event_id, case when status is null then 'unknown' when status in (401, 403) then 'auth_failed' when status = 429 then 'rate_limited' when status >= 500 then 'server_error' when status >= 400 then 'invalid_request' else 'unknown' end as category
+  from (select event_id, case event_id % 6 when 0 then 401 when 1 then 429 when 2 then 503 when 3 then 400 when 4 then 403 end as status from events)"""
+)
+def p7_l3_error_category(spark, sf_dir):
+    from citemill.operators.boundary import error_category
+
+    status = F.expr("case event_id % 6 when 0 then 401 when 1 then 429 when 2 then 503 when 3 then 400 when 4 then 403 end")
+    return table(spark, sf_dir, "events").select("event_id", error_category(status, F.lit(""), F.lit("")).alias("category"))
