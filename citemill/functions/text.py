@@ -109,7 +109,9 @@ def abstract_from_index(index: Column) -> Column:
     entries = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     numbered = F.transform(entries, lambda e, i: F.struct(e["p"].alias("p"), i.alias("i"), e["w"].alias("w")))
     ordered = F.array_sort(numbered)
-    kept = F.filter(ordered, lambda e, i: F.coalesce(F.get(ordered, i + 1)["p"] != e["p"], F.lit(True)))
+    ahead = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    pairs = F.zip_with(ordered, ahead, lambda e, n: F.struct(e["w"].alias("w"), (n["p"] == e["p"]).alias("again")))
+    kept = F.filter(pairs, lambda e: ~F.coalesce(e["again"], F.lit(False)))
     return F.array_join(F.transform(kept, lambda e: e["w"]), " ")
 
 
