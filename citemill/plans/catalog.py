@@ -829,3 +829,132 @@ def p7_l3_error_category(spark, sf_dir):
 
     status = F.expr("case event_id % 6 when 0 then 401 when 1 then 429 when 2 then 503 when 3 then 400 when 4 then 403 end")
     return table(spark, sf_dir, "events").select("event_id", error_category(status, F.lit(""), F.lit("")).alias("category"))
+
+
+# -- coverage, exports and reports -----------------------------------------------------------------------------------
+
+
+@register(f"with {EXTRACTIONS_SQL} select 'order:' || o_orderkey as paper_id from orders where 'order:' || o_orderkey not in (select paper_id from ex)")
+def j12_papers_without_extraction(spark, sf_dir):
+    from citemill.sources.store import missing
+
+    papers = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("paper_id"))
+    return missing(papers, _extractions(spark, sf_dir), ["paper_id"])
+
+
+@register(f"with {EXTRACTIONS_SQL} select paper_id, name, role, row_number() over (partition by paper_id order by ln, name, role)::int as place from men")
+def a7_mentions(spark, sf_dir):
+    m = _extractions(spark, sf_dir).select("paper_id", F.explode("concepts").alias("m")).select("paper_id", "m.name", "m.role", "m.l_linenumber")
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    named = li.select(
+        F.concat(F.lit("order:"), "l_orderkey").alias("paper_id"), F.when(F.col("l_linenumber") == 3, "nowhere").otherwise(F.col("p_name")).alias("name"),
+        F.expr("case when l_linenumber = 1 then 'introduces' when l_returnflag = 'R' then 'Limitation ' else 'uses' end").alias("role"), "l_linenumber", "p_partkey",
+    )
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("l_linenumber", "p_partkey", "name", "role"))
+    return named.join(m.select("paper_id").distinct(), "paper_id", "left_semi").withColumn("place", place).select("paper_id", "name", "role", "place")
+
+
+@register(
+    f"with {td.GRAPH_SQL} select case when e.src like 'order:%' then e.src else a.label end as source, b.label as target, e.type from edges e join nodes a on a.id = e.src join nodes b on b.id = e.dst where e.type <> 'CITES'"
+)
+def j18_edge_export(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    n = nodes.select("id", "label", F.col("type").alias("kind"))
+    named = edges.where("type <> 'CITES'").join(n.toDF("src", "sl", "sk"), "src").join(n.toDF("dst", "dl", "dk"), "dst")
+    return named.select(F.when(F.col("sk") == "Paper", F.col("src")).otherwise(F.col("sl")).alias("source"), F.col("dl").alias("target"), "type")
+
+
+@register(f"with {td.GRAPH_SQL}, {NEWEST_SQL} select type, count(*) as n from edges where src in (select id from newest) group by 1")
+def a29_slice_edge_types(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    newest = nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select(F.col("id").alias("src"))
+    return edges.join(newest, "src", "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"with {td.GRAPH_SQL} select distinct e.src as paper, e.dst as concept from edges e where e.type = 'HAS_LIMITATION'")
+def j16_limitation_targets(spark, sf_dir):
+    return _graph(spark, sf_dir)[1].where("type = 'HAS_LIMITATION'").select(F.col("src").alias("paper"), F.col("dst").alias("concept"))
+
+
+@register("select quality, count(*) as n, round(avg(case when toxic = 0 then 1 else 0 end), 6) as by_hand, bool_and(toxic = 0) as all_by_hand from labels group by 1")
+def a27_p6_reference_share(spark, sf_dir):
+    hand = (F.col("toxic") == 0).cast("int")
+    return table(spark, sf_dir, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hand), 6).alias("by_hand"), F.bool_and(F.col("toxic") == 0).alias("all_by_hand"))
+
+
+@register(
+    "select count(*) as total, count(*) filter (where doc_id in (select doc_id from labels)) as extracted, round(count(*) filter (where doc_id in (select doc_id from labels)) / count(*), 6) as parse_rate from documents"
+)
+def a31_extraction_report(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("done", F.lit(True))
+    d = table(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left")
+    return d.agg(F.count(F.lit(1)).alias("total"), F.count("done").alias("extracted"), F.round(F.count("done") / F.count(F.lit(1)), 6).alias("parse_rate"))
+
+
+@register(f"with {LIMITS_SQL} select count(*) as limitations, count(distinct theme) as themes, count(year) as dated from lim")
+def a32_gap_report_counts(spark, sf_dir):
+    return _limitations(spark, sf_dir).agg(F.count(F.lit(1)).alias("limitations"), F.countDistinct("theme").alias("themes"), F.count("year").alias("dated"))
+
+
+@register(f"with {td.CONCEPTS_SQL} select name, min(nullif(year, 0)) as year from concepts group by 1")
+def v5_concept_years(spark, sf_dir):
+    return td.concepts(spark, sf_dir).groupBy("name").agg(F.min(graph.known(F.col("year"))).alias("year"))
+
+
+@register(
+    f"with {BM25_SQL}, top as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as r from scored where score > 0 qualify r <= 5) select query_id, string_agg('[P' || r || '] ' || left(text, 80), chr(10) order by r) as evidence from top join documents on id = doc_id group by 1"
+)
+def v4_w5_evidence_text(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    top = rank.bm25_top(d, questions(spark), 5).join(d, "id")
+    line = F.concat(F.lit("[P"), "rank", F.lit("] "), F.left("text", F.lit(80)))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    return top.groupBy("query_id").agg(F.array_join(lines, "\n").alias("evidence"))
+
+
+@register(
+    f"with {BM25_SQL}, top as (select query_id, id from scored where score > 0 qualify row_number() over (partition by query_id order by score desc, id) <= 5) select a.query_id as one, b.query_id as two, count(*) as shared from top a join top b on a.id = b.id and a.query_id < b.query_id group by 1, 2"
+)
+def u5_arm_overlap(spark, sf_dir):
+    top = rank.bm25_top(_docs(spark, sf_dir), questions(spark), 5).select("query_id", "id")
+    a, b = top.toDF("one", "id"), top.toDF("two", "id")
+    return a.join(b, "id").where("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@register(
+    "select event_id, '{\"event_id\":' || event_id || ',\"kind\":\"' || event_type || '\",\"run_id\":' || user_id || '}' as line from events"
+)
+def k10_event_lines(spark, sf_dir):
+    from citemill.sources.store import event_json
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("run_id"))
+    return event_json(e).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.col("value").alias("line"))
+
+
+@register(f"select user_id as run_id, p.phase, case when p.phase < c then 'done' when p.phase = c then 'active' else 'pending' end as state from (select user_id, arg_max({PHASE_SQL}, (ts, event_id)) as c from events group by 1), (select unnest(range(1, 11))::int as phase) p")
+def t6_phase_states(spark, sf_dir):
+    from citemill.streaming.fold import fold, phase_states
+
+    return phase_states(fold(_events(spark, sf_dir)))
+
+
+@register("select event_id from events order by value desc, event_id limit 40")
+def t7_e6_budget(spark, sf_dir):
+    """What a model call under a spend cap of 40 may see, best first."""
+    from citemill.operators.boundary import within_budget
+
+    return within_budget(table(spark, sf_dir, "events").withColumn("worse", -F.col("value")), 40, ["worse", "event_id"]).select("event_id")
+
+
+@register()
+def e3_hashed_embedding(spark, sf_dir):
+    from citemill.operators.boundary import hashed_embedding
+
+    return table(spark, sf_dir, "benchmark").select("item_id", hashed_embedding(F.col("text"), 16).alias("vector"))
+
+
+@register()
+def e7_rule_extraction(spark, sf_dir):
+    from citemill.operators.boundary import rule_extraction
+
+    return rule_extraction(td.papers(spark, sf_dir))
