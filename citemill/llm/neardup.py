@@ -9,15 +9,17 @@ every such pair. With 12 chunks of 6 values and one error that is a distance of
 similarity 0.8 that lies beyond still shares a key in all but 3 of 10**6 cases. Found pairs are
 confirmed on full shingle sets, in integers.
 
-Rows with the same set are one vertex (a 64-bit fingerprint of two sums and the size tells sets apart), so copies
-cost nothing. A bucket isn't expanded into pairs. First, in `ROUNDS` rounds over whole-chunk keys, each
-component so far (at first each vertex) has one pair confirmed: with the leader of another component
-that it shares most buckets with. Large groups melt together there, at one pair a component and round.
-Then all keys are emitted; buckets within one component are dropped, the others get one more such round,
-and what is still in different components is compared pair by pair, if sizes and two bits of each
-signature value (in the join's own condition) let the pair reach the similarity. A link between
-different texts can then only be left unconfirmed where its ends are connected anyhow, so components
-are those of all links.
+Rows with the same set are one vertex (a 64-bit fingerprint of two sums and the size tells sets apart),
+so copies cost nothing. A bucket isn't expanded into pairs. First, in rounds over whole-chunk keys, each
+component so far (at first each vertex) has a few pairs confirmed, with leaders of other components that
+it shares most buckets with (`DRAWS`); large groups melt together there. Then all keys are emitted,
+buckets within one component are dropped, and the others get one more such round. What is still in
+different components is compared exactly: members of buckets of up to `LARGE` pair by pair, if sizes and
+two bits of each signature value (in the join's own condition) let the pair reach the similarity;
+larger buckets that overlap form a cluster, whose vertices are dealt into blocks, and two blocks meet in
+one task, which counts all their intersections as matrix products over shingles and returns one link for
+two components at most. A link between different texts can only be left unconfirmed where its ends are
+connected anyhow, so components are those of all links.
 
 Null or empty texts, and texts without words, have no set, no link and their own id as component; a
 null doc_id takes part, but isn't the smallest id of a group unless it is alone. Rows that share a
@@ -45,7 +47,9 @@ CHUNKS, WIDTH, ERRORS = 12, 6, 1
 #: that is over six standard deviations away.
 LEAST_AGREEING = 0.5
 #: Pairs that a component tries in each of the first rounds.
-DRAWS = (1, 8, 8, 8)
+DRAWS = (1, 8)
+#: Buckets of more members are compared block by block; vertices in a block, and shingles taken to a product at once.
+LARGE, BLOCK, COLUMNS = 64, 512, 4096
 
 
 def _signature(s: np.ndarray, sizes: np.ndarray, values: int) -> np.ndarray:
@@ -221,6 +225,48 @@ def _across(mixed: DataFrame, sets: DataFrame, values: int, percent: int) -> Dat
     ).distinct()
 
 
+def _in_blocks(docs: DataFrame, sets: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in the clusters of `large` (key, vertex, component), one for two components and blocks."""
+    import pandas as pd
+
+    first = large.groupBy("key").agg(F.min("vertex").alias("first"))
+    cluster = connected_components(large.join(first, "key").select(F.col("vertex").alias("a"), F.col("first").alias("b")))
+    cluster = cluster.toDF("vertex", "cluster")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    vertices = materialize(large.select("vertex", "component").distinct(), "large")
+    full = _full_sets(docs, sets, vertices.select("vertex"), n)
+    members = vertices.join(full, "vertex").join(cluster, "vertex").join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = members.select("cluster", "vertex", "component", "shingles", "block", other)
+    sent = sent.select("cluster", "vertex", "component", "shingles", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(part["x"].iloc[0]), int(part["y"].iloc[0])
+        block, vertex, component = (part[c].to_numpy() for c in ("block", "vertex", "component"))
+        lists = [np.frombuffer(b, tk.U) for b in part["shingles"]]
+        sizes = np.array([len(s) for s in lists])
+        _, column, uses = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        shared = uses[column] > 1  # a shingle of one set only is in no intersection
+        number = np.cumsum(uses > 1) - 1
+        column, owner = number[column[shared]], owner[shared]
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        same = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+            matrix = np.zeros((len(lists), COLUMNS), np.float32)
+            matrix[owner[lo:hi], column[lo:hi] - at] = 1
+            same += matrix[left] @ matrix[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - same
+        i, j = np.nonzero((100 * same.astype(np.int64) >= percent * union.astype(np.int64)) & (component[left][:, None] != component[right][None, :]))
+        found = pd.DataFrame({"a": vertex[left[i]], "b": vertex[right[j]], "ca": component[left[i]], "cb": component[right[j]]})
+        return found.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+    return sent.groupBy("cluster", "x", "y").applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, n: int = 5, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS
 ) -> DataFrame:
@@ -246,8 +292,11 @@ def near_duplicates(
         label = _merge(label, links(_few_each(_mixed(keyed, draw), most)))
     mixed = materialize(_mixed(_keys(_with_component(sets, label), chunks, width, errors), len(DRAWS)), "mixed")
     label = _merge(label, links(_few_each(mixed, DRAWS[-1])))
-    mixed = _mixed(_with_component(mixed.select("key", "vertex"), label), 0).drop("lead")
-    label = _merge(label, links(_across(materialize(mixed, "mixed"), sets, values, percent)))
+    mixed = materialize(_mixed(_with_component(mixed.select("key", "vertex"), label), 0).drop("lead"), "mixed")
+    large = materialize(mixed.groupBy("key").count().where(F.col("count") > LARGE).select("key"), "keys")
+    label = _merge(label, materialize(_in_blocks(docs, sets, mixed.join(large, "key", "left_semi"), n, percent), "links"))
+    mixed = materialize(_mixed(_with_component(mixed.join(large, "key", "left_anti").select("key", "vertex"), label), 0).drop("lead"), "mixed")
+    label = _merge(label, links(_across(mixed, sets, values, percent)))
 
     named = _with_component(sets.select("vertex", "first_id"), label)
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
