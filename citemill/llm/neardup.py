@@ -226,11 +226,11 @@ def _across(mixed: DataFrame, sets: DataFrame, values: int, percent: int) -> Dat
 
 
 def _in_blocks(docs: DataFrame, sets: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between components in the clusters of `large` (key, vertex, component), one for two components and blocks."""
+    """Links (a, b) between components in the clusters of `large` (vertex, component, head: a vertex of its bucket),
+    one for two components and blocks."""
     import pandas as pd
 
-    first = large.groupBy("key").agg(F.min("vertex").alias("first"))
-    cluster = connected_components(large.join(first, "key").select(F.col("vertex").alias("a"), F.col("first").alias("b")))
+    cluster = connected_components(large.select(F.col("vertex").alias("a"), F.col("head").alias("b")))
     cluster = cluster.toDF("vertex", "cluster")
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     vertices = materialize(large.select("vertex", "component").distinct(), "large")
@@ -290,12 +290,14 @@ def near_duplicates(
     for draw, most in enumerate(DRAWS):
         keyed = _keys(_with_component(sets, label), chunks, width, 0)
         label = _merge(label, links(_few_each(_mixed(keyed, draw), most)))
-    mixed = materialize(_mixed(_keys(_with_component(sets, label), chunks, width, errors), len(DRAWS)), "mixed")
-    label = _merge(label, links(_few_each(mixed, DRAWS[-1])))
-    mixed = materialize(_mixed(_with_component(mixed.select("key", "vertex"), label), 0).drop("lead"), "mixed")
-    large = materialize(mixed.groupBy("key").count().where(F.col("count") > LARGE).select("key"), "keys")
-    label = _merge(label, materialize(_in_blocks(docs, sets, mixed.join(large, "key", "left_semi"), n, percent), "links"))
-    mixed = materialize(_mixed(_with_component(mixed.join(large, "key", "left_anti").select("key", "vertex"), label), 0).drop("lead"), "mixed")
+    keyed = _keys(_with_component(sets, label), chunks, width, errors)
+    label = _merge(label, links(_few_each(_mixed(keyed, len(DRAWS)), DRAWS[-1])))
+    by_key = Window.partitionBy("key")
+    mixed = _mixed(_keys(_with_component(sets, label), chunks, width, errors), 0).drop("lead")
+    mixed = materialize(mixed.withColumns({"size": F.count(F.lit(1)).over(by_key), "head": F.min("vertex").over(by_key)}), "mixed")
+    label = _merge(label, materialize(_in_blocks(docs, sets, mixed.where(F.col("size") > LARGE), n, percent), "links"))
+    few = mixed.where(F.col("size") <= LARGE).select("key", "vertex")
+    mixed = materialize(_mixed(_with_component(few, label), 0).drop("lead"), "mixed")
     label = _merge(label, links(_across(mixed, sets, values, percent)))
 
     named = _with_component(sets.select("vertex", "first_id"), label)
