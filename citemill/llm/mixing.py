@@ -3,8 +3,9 @@
 A source with weight w and n of the table's N rows gets the mean repetition rate w * N / n. Each row's
 count is the inverse of the Poisson distribution of that mean at a uniform number hashed from the row
 and the seed, so a rate of 2.5 gives 2.5 copies on average, rates below one thin a source, and the same
-row gets the same count on every run. Copies are then put in a global random order: every copy has its
-own hashed key, and its position is its exact rank.
+row gets the same count on every run. A rate of over `AT_ONCE` is cut into equal parts, and the count is
+the sum of one draw a part, each with its own hash, which is Poisson of the whole rate. Copies are then
+put in a global random order: every copy has its own hashed key, and its position is its exact rank.
 
 The weights are configuration: a dictionary of a size that doesn't depend on the data. Sources that it
 doesn't name share `other` in proportion to their rows (0: they go). Null sources count as unnamed.
@@ -28,13 +29,15 @@ TARGETS = {f"src{i}": w for i, w in enumerate((0.10, 0.08, 0.08, 0.06, 0.06, 0.0
 OTHER = 0.40
 #: The inversion stops where the upper tail is below what 52 bits of hash can reach.
 TAIL = 2.0**-52
+#: The largest rate of one draw; exp(-rate) is far from underflow there.
+AT_ONCE = 600.0
+#: Copies of a row that are made from one array.
+RUN = 1 << 16
 
 
 def poisson_steps(rate: float) -> list[float]:
     """Cumulated Poisson probabilities P(X <= k) for k = 0, 1, ... until the tail is out of reach."""
     steps, k, term = [], 0, math.exp(-rate)
-    if rate > 600:
-        raise ValueError("a mean repetition rate of over 600 is surely a mistake")
     total = term
     while True:
         steps.append(total)
@@ -45,6 +48,16 @@ def poisson_steps(rate: float) -> list[float]:
         total += term
 
 
+def draws_of(rate: float) -> int:
+    """Draws of `AT_ONCE` at most that make up a rate."""
+    return max(1, math.ceil(rate / AT_ONCE))
+
+
+def step_array(rate: float) -> Column:
+    """The steps of one draw of the rate."""
+    return F.array(*[F.lit(x) for x in poisson_steps(rate / draws_of(rate))])
+
+
 def uniform(key: Column) -> Column:
     """52 bits of a hexadecimal key as a number in [0, 1)."""
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
@@ -69,13 +82,26 @@ def poisson_replicate(
     named = docs.where(F.col(source).isin(*targets)).groupBy(source).count()
     counts = {r[0]: r[1] for r in named.collect()}  # one row per configured source
     rates, rest = repetition_rates(counts, docs.count(), targets, other)
-    steps = F.array(*[F.lit(x) for x in poisson_steps(rest)])
+    steps, draws = step_array(rest), F.lit(draws_of(rest))
     for name, rate in rates.items():
-        steps = F.when(F.col(source) == name, F.array(*[F.lit(x) for x in poisson_steps(rate)])).otherwise(steps)
-    rows = docs.withColumn("_u", uniform(seeded_key(*[F.col(k) for k in keys], seed=seed))).withColumn("_steps", steps)
-    rows = rows.withColumn("_times", F.size(F.filter("_steps", lambda c: c < F.col("_u"))))
-    rows = rows.where("_times > 0").drop("_steps", "_u")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
+        steps = F.when(F.col(source) == name, step_array(rate)).otherwise(steps)
+        draws = F.when(F.col(source) == name, draws_of(rate)).otherwise(draws)
+    parts = [F.col(k) for k in keys]
+    rows = docs.withColumn("_u", uniform(seeded_key(*parts, seed=seed))).withColumn("_steps", steps)
+
+    def drawn(u: Column) -> Column:
+        return F.size(F.filter("_steps", lambda c: c < u))
+
+    if max(rest, *rates.values(), 0.0) <= AT_ONCE:
+        rows = rows.withColumn("_times", drawn(F.col("_u")))
+        rows = rows.where("_times > 0").drop("_steps", "_u")
+        return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
+    more = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, i: n + drawn(uniform(seeded_key(*parts, F.lit("draw"), i, seed=seed))))
+    rows = rows.withColumn("_draws", draws).withColumn("_times", F.when(F.col("_draws") == 1, drawn(F.col("_u"))).otherwise(more))
+    rows = rows.where("_times > 0").drop("_steps", "_u", "_draws")
+    rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_times") - 1, F.lit(RUN))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (RUN - 1), F.col("_times") - 1))))
+    return rows.drop("_from", "_times")
 
 
 def global_shuffle(rows: DataFrame, keys: tuple[str, ...], seed: int = SEED) -> DataFrame:

@@ -145,6 +145,16 @@ def test_poisson_counts_follow_the_rates(spark):
     assert mixing.poisson_replicate(df.drop("copy").where("false"), {"hot": 1.0}).count() == 0
 
 
+def test_rates_of_any_size_are_met(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 100, raising=False)
+    df = docs(spark, [(i, f"t{i}", None if i < 10 else "hot") for i in range(20_000)]).drop("copy")
+    out = mixing.poisson_replicate(df, {"hot": 0.6}, 0.4)  # 800 copies of each null-source row
+    n = {r.doc_id: (r["count"], r.last) for r in out.where("source is null").groupBy("doc_id").agg(F.count("*").alias("count"), F.max("copy").alias("last"), F.countDistinct("copy").alias("d")).where("d = count").collect()}
+    assert len(n) == 10 and all(abs(k - 800) < 150 and top == k - 1 for k, top in n.values()) and len(set(n.values())) > 3
+    assert abs(sum(k for k, _ in n.values()) - 8000) < 450
+    assert abs(out.where("source = 'hot'").count() - 12_000) < 550
+
+
 def test_pipeline_keeps_what_each_stage_should(spark):
     import corpus_pipeline as cp
     from citemill.runtime import table
