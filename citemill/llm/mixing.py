@@ -9,8 +9,10 @@ put in a global random order: every copy has its own hashed key, and its positio
 
 The weights are configuration: a dictionary of a size that doesn't depend on the data. Sources that it
 doesn't name share `other` in proportion to their rows (0: they go). Null sources count as unnamed.
-Null or empty texts are rows like others. Rows that repeat in full get equal counts. An empty table
-gives an empty result. Extra columns pass through; names starting with `_` are reserved.
+Null or empty texts are rows like others. Rows without an id and rows that share an id are told apart by
+a hash of their source and text, which joins the id in their seeds. Rows that repeat in full get equal
+counts. An empty table gives an empty result. Extra columns pass through; names starting with `_` are
+reserved.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm.ranking import hot_safe_rank, seeded_key
-from citemill.runtime import table
+from citemill.llm.rows import small
+from citemill.runtime import materialize, table
 
 SEED = 8
 #: The mixture of the query: ten sources raised or lowered, the others keep what is left.
@@ -70,15 +73,37 @@ def repetition_rates(counts: dict[str, int], total: int, targets: dict[str, floa
     return named, (other * total / rest if rest else 0.0)
 
 
+def content(source: str = "source", text: str = "text") -> Column:
+    """A hash of a row's source and text; nulls count as values of their own."""
+    return F.xxhash64(F.coalesce(source, F.lit("\x00")), F.coalesce(text, F.lit("\x00")))
+
+
+def told_apart(docs: DataFrame, version: Column) -> DataFrame:
+    """Add `_id`: the doc_id as text where rows of one `version` only have it, else the doc_id and the version."""
+    rows = docs.withColumn("_version", version)
+    met = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("_version").alias("_least"), F.max("_version").alias("_most"))
+    shared = small(materialize(met.where("_least <> _most").select(F.col("doc_id").alias("_shared")), "shared_ids"))
+    # rows without an id are dealt by version if the join is shuffled; should they meet an id, nothing changes
+    rows = rows.join(shared, F.coalesce("doc_id", "_version") == F.col("_shared"), "left")
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
+    alone = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
+    return rows.withColumn("_id", F.when(alone, id_).otherwise(F.concat_ws(":", id_, "_version"))).drop("_shared", "_version")
+
+
 def poisson_replicate(
     docs: DataFrame,
     targets: dict[str, float],
     other: float = 0.0,
     seed: int = SEED,
     source: str = "source",
-    keys: tuple[str, ...] = ("doc_id",),
+    keys: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """`docs` with each row as often as its Poisson count says, plus `copy` (0-based)."""
+    """`docs` with each row as often as its Poisson count says, plus `copy` (0-based).
+
+    `keys` are the columns that tell rows apart; by default doc_id, source and text do.
+    """
+    if keys is None:
+        return poisson_replicate(told_apart(docs, content(source)), targets, other, seed, source, ("_id",)).drop("_id")
     named = docs.where(F.col(source).isin(*targets)).groupBy(source).count()
     counts = {r[0]: r[1] for r in named.collect()}  # one row per configured source
     rates, rest = repetition_rates(counts, docs.count(), targets, other)
@@ -117,16 +142,17 @@ def global_shuffle(rows: DataFrame, keys: tuple[str, ...], seed: int = SEED) ->
 
 def mixture(docs: DataFrame, targets: dict[str, float], other: float = 0.0, seed: int = SEED) -> DataFrame:
     """`docs` replicated to the target weights, dealt and sorted in a seeded random order of all copies."""
-    copies = poisson_replicate(docs, targets, other, seed)
-    ordered = copies.orderBy(seeded_key(F.col("doc_id"), F.col("copy"), F.lit("order"), seed=seed), "doc_id", "copy")
+    copies = poisson_replicate(told_apart(docs, content()), targets, other, seed, keys=("_id",))
+    ordered = copies.orderBy(seeded_key(F.col("_id"), F.col("copy"), F.lit("order"), seed=seed), "_id", "copy")
     return ordered.select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all `documents`: doc_id, source, copy, n_bytes (of the text), position."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
-    mixed = poisson_replicate(docs, TARGETS, OTHER)
-    return global_shuffle(mixed, ("doc_id", "copy")).select("doc_id", "source", "copy", "n_bytes", "position")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", size, content().alias("_content"))
+    mixed = poisson_replicate(told_apart(docs, F.col("_content")), TARGETS, OTHER, keys=("_id",)).drop("_content")
+    return global_shuffle(mixed, ("_id", "copy")).select("doc_id", "source", "copy", "n_bytes", "position")
 
 
 _WEIGHTS = ", ".join(f"('{s}', {w!r})" for s, w in TARGETS.items())

@@ -155,6 +155,23 @@ def test_rates_of_any_size_are_met(spark, monkeypatch):
     assert abs(out.where("source = 'hot'").count() - 12_000) < 550
 
 
+def test_rows_without_an_id_of_their_own_are_drawn_apart(spark, tmp_path):
+    rows = [(None, f"n{i}", "a") for i in range(2000)] + [(7, f"r{i}", "b") for i in range(2000)] + [(i, f"t{i}", "a") for i in range(10_000, 12_000)]
+    df = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    n = Counter((r.doc_id, r.source) for r in mixing.poisson_replicate(df, {"a": 1 / 3, "b": 1 / 3}).collect())
+    assert abs(n[None, "a"] - 1000) < 150 and abs(n[7, "b"] - 2000) < 220 and abs(sum(n.values()) - 4000) < 320
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    named = {f"src{i}": s for i, s in enumerate("ab")}
+    spark.read.parquet(f"{tmp_path}/documents.parquet").replace({s: k for k, s in named.items()}, subset="source").write.parquet(f"{tmp_path}/named/documents.parquet")
+    out = mixing.op8_mixing(spark, f"{tmp_path}/named").collect()
+    assert abs(sum(r.doc_id is None for r in out) - 300) < 90 and abs(sum(r.doc_id == 7 for r in out) - 480) < 110
+    assert sorted(r.position for r in out) == list(range(len(out)))
+    first = [r for r in out if r.position < len(out) // 2]  # in random order, not side by side
+    assert 0.35 < sum(r.doc_id == 7 for r in first) / sum(r.doc_id == 7 for r in out) < 0.65
+    mixed = [r.doc_id for r in mixing.mixture(df, {"a": 1 / 3, "b": 1 / 3}).collect()]
+    assert sum(a is None and b is None for a, b in zip(mixed, mixed[1:], strict=False)) < len(mixed) // 8
+
+
 def test_pipeline_keeps_what_each_stage_should(spark):
     import corpus_pipeline as cp
     from citemill.runtime import table
