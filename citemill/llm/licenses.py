@@ -1,12 +1,15 @@
 """Operator 4, license scans by MinHash bands over overlapping windows. Main path: DataFrame functions only.
 
 Words are lower-cased and split at white space and ASCII punctuation. Templates are notices and
-headers; a template's size class is the least of `CLASSES` that is twice its length or more, and a
-document's windows of a class overlap by half, so that every occurrence lies wholly inside a window.
+headers, or whole licence bodies; a template's size class is the least of `CLASSES`, or of the doublings
+of its last, that is twice its length or more, and a document's windows of a class overlap by half, so
+that every occurrence lies wholly inside a window.
 Only 3-word shingles that occur in some template enter a window (others can't add to a containment, so
 nothing is lost). A window's set has `BANDS` MinHash values of one row each: at a similarity of 0.4 to a
 template, they miss it with a probability of 0.6 ** 32, below 10 ** -7. Retrieved templates are verified
-by exact shingle containment of at least `LEAST`.
+by exact shingle containment of at least `LEAST`. Templates of fewer than three words have no shingle; they
+are matched by their exact sequence of words, which counts as one shingle. A template without any word
+matches nothing.
 
 The templates are a parameter of the caller's making, a fixed and small list that is sent to all
 executors. Null and empty texts match nothing. A null doc_id takes part. Rows that repeat in full count
@@ -78,6 +81,14 @@ def _minhash(shingles: Column) -> Column:
     return F.array(*[band(b) for b in range(BANDS)])
 
 
+def window_size(words: int) -> int:
+    """The size class of a template of so many words."""
+    size = next((c for c in CLASSES if c >= 2 * words), CLASSES[-1])
+    while size < 2 * words:
+        size *= 2
+    return size
+
+
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
     """template, license, kind (window size), of (shingles) and set of each template that has a shingle."""
     if len(templates) > MAX_TEMPLATES:
@@ -85,17 +96,31 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...])
     rows = []
     for i, (name, text) in enumerate(templates):
         n = len(template_words(text))
-        size = next((c for c in CLASSES if c >= 2 * n), None)
-        if size is None:
-            raise ValueError(f"template {i} is longer than {CLASSES[-1] // 2} words")
         if n >= SHINGLE:
-            rows.append((i, name, size, text))
+            rows.append((i, name, window_size(n), text))
     made = spark.createDataFrame(rows, "template int, license string, kind int, text string").withColumn("h", _hashes(F.col("text")))
     at = F.sequence(F.lit(1), F.size("h") - SHINGLE + 1)
     made = made.withColumn("set", F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get("h", i - 1 + k) for k in range(SHINGLE)]))))
     return made.select("template", "license", "kind", F.size("set").alias("of"), "set")
 
 
+def _short_matches(rows: DataFrame, templates: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The columns of `license_matches` for the templates that are too short for a shingle, at their first place."""
+    few = [(i, name, len(template_words(text)), text) for i, (name, text) in enumerate(templates) if 0 < len(template_words(text)) < SHINGLE]
+    known = rows.sparkSession.createDataFrame(few, "template int, license string, length int, text string")
+    known = known.select("template", "license", "length", F.xxhash64(_hashes(F.col("text"))).alias("sequence"))
+
+    def sequences(n: int) -> DataFrame:
+        at = F.sequence(F.lit(0), F.size("h") - n)
+        found = F.transform(at, lambda i: F.xxhash64(F.slice("h", i + 1, n)))
+        return rows.where(F.size("h") >= n).select("doc_id", "version", F.lit(n).alias("length"), F.posexplode(found).alias("at", "sequence"))
+
+    first, *more = [sequences(n) for n in sorted({x[2] for x in few})]
+    words = first.unionByName(more[0]) if more else first
+    met = words.join(F.broadcast(known), ["length", "sequence"]).groupBy("doc_id", "version", "license", "template", "length").agg(F.min("at").alias("start"))
+    return met.select("doc_id", "version", "license", "template", F.lit(1).alias("matched"), F.lit(1).alias("of"), "start", (F.col("start") + F.col("length") - 1).alias("end"))
+
+
 def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, version, license, template, matched, of, start, end): each template that a document holds, at its best window.
 
@@ -122,9 +147,12 @@ def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TE
     met = met.withColumns({"start": F.array_min(places), "end": F.array_max(places) + SHINGLE - 1})
     best = F.max(F.struct("matched", (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))).alias("best")
     out = met.groupBy("doc_id", "version", "license", "template", "of").agg(best)
-    return out.select(
+    out = out.select(
         "doc_id", "version", "license", "template", F.col("best.matched").alias("matched"), "of", (-F.col("best.s")).alias("start"), (-F.col("best.e")).alias("end")
     )
+    if any(0 < len(template_words(text)) < SHINGLE for _, text in templates):
+        return out.unionByName(_short_matches(rows, templates))
+    return out
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

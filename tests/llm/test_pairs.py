@@ -130,6 +130,14 @@ def test_licences(spark):
     assert (span.start, span.end, span.matched, span.of) == (0, 2, 1, 1)
 
 
+def test_licences_of_any_length(spark):
+    body = " ".join(f"clause{i % 90} w{i}" for i in range(700))
+    templates = (("Body", body), ("MIT", "MIT License"), ("GPL", "GPLv3"), ("None", " - "), ("MIT", "under the MIT License"))
+    rows = [(1, "word " * 333 + body + " end" * 90), (2, "the mit LICENSE, the MIT license"), (3, "MIT-style license"), (4, "(GPLv3)"), (5, body[: len(body) // 2]), (6, None), (7, ""), (None, "under the MIT License")]
+    got = {(r.doc_id, r.template, r.matched == r.of, r.start, r.end) for r in licenses.license_matches(docs(spark, rows), templates).collect()}
+    assert got == {(1, 0, True, 333, 1732), (2, 1, True, 1, 2), (4, 2, True, 0, 0), (None, 1, True, 2, 3), (None, 4, True, 0, 3)}
+
+
 def _top(rows, queries, k):
     ints = {i: (d, np.floor(1024 * np.asarray(v, float)).astype(int)) for i, (d, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)}
     out = set()
