@@ -1,6 +1,7 @@
 """Operator 10, exact top-k inner products over norm-sorted blocks with rotated partial sums.
 
-Components become floor(scale * x), so that scores are integers. Vectors are sorted by descending
+Components become floor(scale * x), so that scores are integers; they are held as doubles, which have
+every such integer exactly. Vectors are sorted by descending
 length over `SLABS` ranges and packed into blocks; queries are packed too, so a block of queries meets
 a block of vectors as one matrix product. Each query's k-th best score against the block of longest
 vectors is a first threshold. A query block only goes to slabs whose longest vector can still reach a
@@ -8,7 +9,9 @@ threshold of it (Cauchy-Schwarz: |q| |v|). Where the two blocks meet, both are r
 eigenvectors of the vectors' second moments (their right singular vectors); the product of the leading
 coordinates plus the product of the lengths of the rest bounds each score, and only pairs whose bound
 reaches the threshold are scored, exactly, in integers. Thresholds rise as a task goes on. The bound
-never drops a pair that belongs to the result, ties included.
+never drops a pair that belongs to the result, ties included. Scores beyond the range of long are held
+at its ends and tie there; a component whose product with the scale is beyond the range of double is held
+at that range's end.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of different
 widths don't meet. A null id can be found (last among ties) but isn't a query. Rows that share a
@@ -31,6 +34,9 @@ SLABS, SALTS = 64, 8
 BLOCK, QUERY_BLOCK = 2048, 512
 LEADING = 16
 NO_ID = np.iinfo(np.int64).max
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+#: Rotations are found from components up to this size; any rotation keeps the bound.
+TURNED = 2.0**400
 _BLOCKS = "slab int, block int, dim int, longest double, ids binary, body binary"
 
 
@@ -39,8 +45,13 @@ _SEEDED = pa.schema(
 )
 
 
+def _lengths(vectors: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.array([float(np.sqrt((v * v).sum())) for v in vectors], np.float64)
+
+
 def _integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """id, dim, length, body (64-bit integers) of every vector that takes part."""
+    """id, dim, length, body (whole numbers as doubles) of every vector that takes part."""
     v = F.col(vec_col)
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v.cast("array<double>")).alias("v")).where("v is not null")
@@ -48,17 +59,16 @@ def _integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            flat = np.floor(lists.flatten().to_numpy(zero_copy_only=False) * scale)
-            if flat.size and np.abs(flat).max() >= 2.0**31:
-                raise ValueError("a component is too large for exact integer scores")
+            with np.errstate(over="ignore"):
+                flat = np.nan_to_num(np.floor(lists.flatten().to_numpy(zero_copy_only=False) * scale))
             ends = np.cumsum(lists.value_lengths().to_numpy())
-            parts = np.split(flat.astype(np.int64), ends[:-1])
+            parts = np.split(flat, ends[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(p) for p in parts], pa.int32()),
-                    pa.array([float(np.sqrt((p.astype(float) ** 2).sum())) for p in parts], pa.float64()),
-                    pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary()),
+                    pa.array(_lengths(parts), pa.float64()),
+                    pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
                 names=["id", "dim", "length", "body"],
             )
@@ -96,29 +106,40 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _unpack(dim: int, ids: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(body, np.int32).reshape(-1, dim).astype(np.float64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(body, np.float64).reshape(-1, dim)
+
+
+def _threshold(score: int) -> float:
+    """What a score must reach to tie with this one; all scores reach the lowest."""
+    return -np.inf if score == LOWEST else float(score)
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, least: np.ndarray, rotate: np.ndarray, k: int):
     """(query number, vector number, score) of each query's k best that reach its threshold `least`."""
-    q_len, v_len = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
-    reach = np.flatnonzero(q_len * v_len.max() * (1 + 1e-9) + 1 >= least)
     h = min(LEADING, q.shape[1])
-    qr, vr = q[reach] @ rotate, v @ rotate
-    rest_q, rest_v = np.sqrt((qr[:, h:] ** 2).sum(1)), np.sqrt((vr[:, h:] ** 2).sum(1))
-    bound = qr[:, :h] @ vr[:, :h].T + np.outer(rest_q, rest_v)
-    slack = np.outer(q_len[reach], v_len) * 1e-9 + 1
-    alive = (bound + slack >= least[reach, None]) & (q_ids[reach, None] != ids[None, :])
-    exact = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) < 2.0**53
+    q_top, v_top = np.abs(q).max(1, initial=0), np.abs(v).max(1, initial=0)
+    with np.errstate(over="ignore", invalid="ignore"):  # what can't be bounded is scored
+        q_len, v_len = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
+        reach = np.flatnonzero(~(q_len * v_len.max() * (1 + 1e-9) + 1 < least))
+        qr, vr = q[reach] @ rotate, v @ rotate
+        rest_q, rest_v = np.sqrt((qr[:, h:] ** 2).sum(1)), np.sqrt((vr[:, h:] ** 2).sum(1))
+        bound = qr[:, :h] @ vr[:, :h].T + np.outer(rest_q, rest_v)
+        slack = np.outer(q_len[reach], v_len) * 1e-9 + 1
+        alive = ~(bound + slack < least[reach, None]) & (q_ids[reach, None] != ids[None, :])
+        largest = np.outer(q_top[reach], v_top) * q.shape[1]
     out = []
     for row, n in enumerate(reach):
         at = np.flatnonzero(alive[row])
         if not len(at):
             continue
-        if exact:
+        plain = largest[row, at] < 2.0**53
+        if plain.all():
             score = (v[at] @ q[n]).astype(np.int64)
         else:
-            score = np.array([int(x) for x in v[at].astype(np.int64).astype(object) @ q[n].astype(np.int64).astype(object)], np.int64)
+            score = np.zeros(len(at), np.int64)
+            score[plain] = (v[at[plain]] @ q[n]).astype(np.int64)
+            w = [int(x) for x in q[n]]
+            score[~plain] = [min(max(sum(int(x) * y for x, y in zip(u, w, strict=True)), LOWEST), HIGHEST) for u in v[at[~plain]].tolist()]
         good = score >= least[n]
         at, score = at[good], score[good]
         order = np.lexsort((ids[at], -score))[:k]
@@ -141,7 +162,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for dim, ids, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                v = _unpack(dim, ids, body)[1]
+                v = np.clip(_unpack(dim, ids, body)[1], -TURNED, TURNED)
                 sums[dim] = sums.get(dim, 0) + v.T @ v
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["dim", "m"]
@@ -165,9 +186,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                 least = np.full(len(q), -np.inf)
                 full = np.flatnonzero(np.bincount(n, minlength=len(q)) == k)
                 for i in full:
-                    least[i] = score[n == i].min()
-                length = np.sqrt((q * q).sum(1))
-                need = np.where(length > 0, (least - 1) / np.maximum(length, 1e-300) * (1 - 1e-9), -np.inf)
+                    least[i] = _threshold(score[n == i].min())
+                length = _lengths(q)
+                need = np.where((length > 0) & (length < np.inf), (least - 1) / np.clip(length, 1e-300, 1e300) * (1 - 1e-9), -np.inf)
                 yield pa.RecordBatch.from_pylist([{"qslab": r["slab"], "qblock": r["block"], "dim": r["dim"], "need": float(need.min()), "q_ids": r["ids"], "q_body": r["body"], "least": least.tobytes()}], schema=_SEEDED)
 
     seeded = materialize(queries.mapInArrow(seed, "qslab int, qblock int, dim int, need double, q_ids binary, q_body binary, least binary"), "seeded")
@@ -189,7 +210,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                 count = np.bincount(n, minlength=len(q))
                 ends = np.cumsum(count)
                 for i in np.flatnonzero(count[: len(q)] == k):
-                    least[i] = max(least[i], s[ends[i] - 1])
+                    least[i] = max(least[i], _threshold(s[ends[i] - 1]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(n), r["qslab"]), pa.int32()),

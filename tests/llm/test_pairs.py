@@ -161,3 +161,20 @@ def test_top_k_with_ties_and_bad_vectors(spark, monkeypatch, small):
     got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()}
     assert got == _top(rows, range(0, 600, 100), 10)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_of_large_components(spark, kind):
+    rnd = np.random.default_rng(5)
+    cut = (lambda x: float(np.float32(x))) if kind == "float" else float
+    scales = (1.0, 2.0**22, 2.0**25) if kind == "float" else (1.0, 2.0**22, 2.0**26)
+    rows = [(i, [cut(x) for x in rnd.normal(0, scales[i % 3], 6)]) for i in range(120)]
+    huge = [(200, [cut(1e30)] + [0.0] * 5), (201, [cut(-1e30)] + [1.0] * 5)] + ([(202, [1e300] * 6), (203, [1.7e308, -1e200] + [0.0] * 4)] if kind == "double" else [])
+    rows += huge
+    whole = {i: [min(max(int(np.floor(x * 1024.0)), -int(1.7976931348623157e308)), int(1.7976931348623157e308)) if abs(x) < 1e305 else int(np.sign(x)) * int(1.7976931348623157e308) for x in v] for i, v in rows}
+    want = set()
+    for q in [0, 100, 200]:
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in whole.items() if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:10])}
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()} == want
