@@ -8,7 +8,7 @@ left is dealt out to shards that all match the mixture.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citemill.llm.decontam import decontaminated
@@ -36,8 +36,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary")))
-    return stratified_shards(rows, SHARDS, keys=("doc_id", "_crc")).drop("_crc")
+    # copies of a document are numbered, so that each has its own place in the shuffle
+    alike = Window.partitionBy("source", "doc_id", "_crc").orderBy("lang", "n_chars")
+    rows = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary"))).withColumn("_nth", F.row_number().over(alike))
+    return stratified_shards(rows, SHARDS, keys=("doc_id", "_crc", "_nth")).drop("_crc", "_nth")
 
 
 STAGES = [

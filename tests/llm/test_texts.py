@@ -192,3 +192,13 @@ def test_pipeline_keeps_what_each_stage_should(spark):
     last = cp.sharding(spark, mixed, SF)
     sizes = [r["count"] for r in last.groupBy("shard").count().collect()]
     assert last.count() == mixed.count() and max(sizes) - min(sizes) <= 1
+
+
+def test_copies_of_a_document_are_spread_over_shards(spark):
+    import corpus_pipeline as cp
+
+    rows = [(1, "again", "a")] * 200 + [(None, "again", None)] * 100 + [(i, f"t{i}", "a") for i in range(2, 202)] + [(1, "other", "a")] * 2
+    out = cp.sharding(spark, docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars"), SF).collect()
+    assert len(out) == len(rows) and {len([r for r in out if r.shard == s]) for s in range(cp.SHARDS)} <= {12, 13}
+    n = Counter(r.shard for r in out if r.doc_id == 1 and r.text == "again")
+    assert sum(n.values()) == 200 and len(n) > 35 and max(n.values()) < 11
