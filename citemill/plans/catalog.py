@@ -294,45 +294,76 @@ def s29_keyed_upsert(spark, sf_dir):
 
 # -- records ---------------------------------------------------------------------------------------------------------
 
-CLUSTERS_SQL = f"""{td.PAPERS_SQL}, keyed as (select *, {KEY_SQL.format('title')} as k1, {_hash_sql('abstract')} as k2 from papers),
-  pairs as (select ingest_seq as a, 'title:' || k1 as k from keyed where k1 <> '' union all select ingest_seq, 'hash:' || k2 from keyed),
+#: Records with up to five kinds of key, and their transitive clusters.
+CLUSTERS_SQL = f"""{td.RECORDS_SQL}, keyed as (select *, {KEY_SQL.format('title')} as k1 from records),
+  pairs as (select ingest_seq as a, 'title:' || k1 as k from keyed where k1 <> '' union all select ingest_seq, 'doi:' || doi from keyed where doi <> '' union all select ingest_seq, 'arxiv:' || arxiv_id from keyed where arxiv_id <> ''
+    union all select ingest_seq, ns || ':' || native from keyed),
   links as (select distinct p.a as a, q.a as b from pairs p join (select k, min(a) as a from pairs group by k) q using (k)),
   both_ways as (select a, b from links union select b, a from links),
   walk(a, b) as (select a, b from both_ways union select w.a, l.b from walk w join both_ways l on w.b = l.a),
   cluster as (select k.ingest_seq as seq, coalesce(min(w.b), k.ingest_seq) as cluster from keyed k left join walk w on k.ingest_seq = w.a group by k.ingest_seq)"""
+#: Few enough keys for a recursion: titles and DOIs alone.
+FEW_SQL = CLUSTERS_SQL.replace(" union all select ingest_seq, 'arxiv:' || arxiv_id from keyed where arxiv_id <> ''\n    union all select ingest_seq, ns || ':' || native from keyed", "")
 
 
 def _keyed_papers(spark, sf_dir):
-    p = td.papers(spark, sf_dir)
-    native = F.create_map(F.lit("hash"), fx.content_hash(F.col("abstract")))
-    return p.withColumn("keys", dedup.match_keys(F.lit(""), F.lit(""), F.col("title"), F.lit(None).cast("string"), native))
+    p = td.records(spark, sf_dir)
+    return p.withColumn("keys", dedup.match_keys(F.col("doi"), F.lit(""), F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")))
 
 
-@register(f"with recursive {CLUSTERS_SQL} select seq, cluster from cluster")
+@register(f"with recursive {FEW_SQL} select seq, cluster from cluster")
 def j1_g1_record_clusters(spark, sf_dir):
     return dedup.clusters(_keyed_papers(spark, sf_dir))
 
 
+def _first_sql(c: str, known: str) -> str:
+    return f"arg_min({c}, seq) filter (where {known}) as {c}"
+
+
 @register(
-    f"""with recursive {CLUSTERS_SQL}, r as (select * from papers join cluster on ingest_seq = seq)
-  select cluster, arg_min(id, seq) as id, arg_min(title, seq) as title, arg_max(abstract, (length(abstract), -seq)) as abstract, arg_min(year, seq) as year, max(citation_count) as citation_count,
-    list_sort(list_distinct(flatten(list(sources)))) as sources, list_sort(list_distinct(flatten(list(keywords)))) as keywords, count(*) as n_records from r group by cluster"""
+    f"""with recursive {FEW_SQL}, r as (select * from records join cluster on ingest_seq = seq),
+  u as (select cluster, 'sources' as field, unnest(sources) as v, seq, 0 as place from r union all select cluster, 'keywords', unnest(keywords), seq, 0 from r
+    union all select cluster, 'references', unnest(refs), seq, generate_subscripts(refs, 1) from r union all select cluster, 'citations', unnest(cits), seq, 0 from r union all select cluster, 'ids', ns, seq, 0 from r),
+  o as (select cluster, field, v, min((seq, place)) as since from u group by 1, 2, 3), l as (select cluster, field, list(v order by since) as vs from o group by 1, 2),
+  ids as (select cluster, list_sort(list(ns || '=' || native)) as external_ids from (select cluster, ns, arg_min(native, seq) as native from r group by 1, 2) group by 1)
+  select r.cluster, arg_min(id, seq) as id, arg_min(title, seq) as title, arg_max(abstract, (length(abstract), -seq)) as abstract, arg_max(authors, (len(authors), -seq)) as authors,
+    {', '.join(_first_sql(c, f"{c} <> ''") for c in ('venue', 'doi', 'arxiv_id', 'url'))}, arg_min(year, seq) as year, {_first_sql('relevance_score', 'relevance_score is not null')}, max(citation_count) as citation_count, count(*) as n_records,
+    {', '.join(f"any_value({f}.vs) as {chr(34)}{f}{chr(34)}" for f in ('sources', 'keywords', 'refs', 'cits')).replace('"refs"', '"references"').replace('"cits"', '"citations"')}, any_value(external_ids) as external_ids
+  from r {' '.join(f"join l {a} on {a}.cluster = r.cluster and {a}.field = '{f}'" for a, f in (('sources', 'sources'), ('keywords', 'keywords'), ('refs', 'references'), ('cits', 'citations')))} join ids on ids.cluster = r.cluster group by r.cluster"""
 )
 def a1_u4_merged_records(spark, sf_dir):
     p = _keyed_papers(spark, sf_dir)
-    out = dedup.merged(p, dedup.clusters(p))
-    return out.withColumns({"sources": F.array_sort("sources"), "keywords": F.array_sort("keywords")})
+    out = dedup.merged(p.drop("keys"), dedup.clusters(p))
+    return out.withColumn("external_ids", F.array_sort(F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))))
 
 
 @register()
 def j1_first_match_fold(spark, sf_dir):
-    p = _keyed_papers(spark, sf_dir)
+    """No SQL: an ordered fold; tests compare it with a plain model."""
+    p = td.records(spark, sf_dir)
+    slots = dedup.match_slots(F.col("doi"), F.col("arxiv_id"), F.col("title"), F.col("id"), F.col("external_ids"))
+    p = p.withColumn("slots", slots).withColumn("keys", F.array_distinct(F.transform("slots", lambda x: x["key"])))
     return dedup.first_match(p, dedup.clusters(p))
 
 
+@register(
+    f"""with {td.RECORDS_SQL}, idx as (select id as key, id as target from records union all select 'doi:' || doi, min(id) from records where doi <> '' group by doi),
+  g as (select id, 'references' as field, generate_subscripts(refs, 1) as place, unnest(refs) as ref from records union all select id, 'citations', 1, unnest(cits) from records),
+  t as (select g.*, case when coalesce(a.target, b.target) <> id then coalesce(a.target, b.target) end as target from g left join idx a on a.key = ref left join idx b on b.key = 'doi:' || ref),
+  o as (select id, field, target, min(place) as place from t where target is not null group by 1, 2, 3), l as (select id, field, list(target order by place) as v from o group by 1, 2)
+  select r.id, coalesce((select v from l where l.id = r.id and field = 'references'), cast([] as varchar[])) as "references", coalesce((select v from l where l.id = r.id and field = 'citations'), cast([] as varchar[])) as citations,
+    (select count(target) from t where t.id = r.id) as resolved, (select count(*) - count(target) from t where t.id = r.id) as dropped from records r"""
+)
+def j3_rewritten_references(spark, sf_dir):
+    p = td.records(spark, sf_dir)
+    by_doi = p.where("doi <> ''").groupBy("doi").agg(F.min("id").alias("target")).select(F.concat(F.lit("doi:"), "doi").alias("key"), "target")
+    index = p.select(F.col("id").alias("key"), F.col("id").alias("target")).unionByName(by_doi)
+    return dedup.rewritten_references(p, index).select("id", "references", "citations", "resolved", "dropped")
+
+
 @register("select source, count(*) as n from documents group by 1")
 def a2_source_yield(spark, sf_dir):
-    return td.papers(spark, sf_dir).select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return dedup.source_yield(td.papers(spark, sf_dir))
 
 
 @register(

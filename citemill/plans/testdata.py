@@ -28,6 +28,31 @@ PAPERS_SQL = r"""papers as (select 'doc:' || doc_id as id, array_to_string(strin
   (1995 + doc_id % 30)::int as year, text as abstract, [source] as sources, [lang] as keywords, n_chars % 97 as citation_count, doc_id as ingest_seq from documents)"""
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with every field of a bibliographic record; DOIs, arXiv ids and native ids repeat over rows."""
+    d = table(spark, sf_dir, "documents")
+    p = papers(spark, sf_dir).join(d.select(F.col("doc_id").alias("ingest_seq"), "source", "n_chars"), "ingest_seq")
+    made = {
+        "authors": "transform(sequence(1, cast(ingest_seq % 4 + 1 as int)), i -> concat('Author ', (ingest_seq + i) % 9))",
+        "venue": "if(ingest_seq % 3 = 0, '', concat('Venue ', source))",
+        "doi": "if(ingest_seq % 5 = 1, concat('10.1/', n_chars % 211), '')",
+        "arxiv_id": "if(ingest_seq % 7 = 2, concat('2101.', n_chars % 173), '')",
+        "url": "if(ingest_seq % 2 = 0, '', concat('http://x/', ingest_seq))",
+        "external_ids": "map(concat('ns', ingest_seq % 3), cast(n_chars % 307 as string))",
+        "references": "array(concat('doc:', ingest_seq % 50), concat('10.1/', ingest_seq % 211), 'nowhere', concat('doc:', ingest_seq))",
+        "citations": "array(concat('doc:', ingest_seq % 20))",
+        "relevance_score": "if(ingest_seq % 4 = 0, null, cast(ingest_seq % 5 + 1 as int))",
+    }
+    return p.withColumns({c: F.expr(e) for c, e in made.items()}).drop("source", "n_chars")
+
+
+RECORDS_SQL = PAPERS_SQL + """, records as (select p.*, list_transform(range(1, ingest_seq % 4 + 2), lambda i: 'Author ' || ((ingest_seq + i) % 9)) as authors,
+    case when ingest_seq % 3 = 0 then '' else 'Venue ' || source end as venue, case when ingest_seq % 5 = 1 then '10.1/' || (n_chars % 211) else '' end as doi,
+    case when ingest_seq % 7 = 2 then '2101.' || (n_chars % 173) else '' end as arxiv_id, case when ingest_seq % 2 = 0 then '' else 'http://x/' || ingest_seq end as url,
+    'ns' || (ingest_seq % 3) as ns, (n_chars % 307)::varchar as native, ['doc:' || (ingest_seq % 50), '10.1/' || (ingest_seq % 211), 'nowhere', 'doc:' || ingest_seq] as refs, ['doc:' || (ingest_seq % 20)] as cits,
+    case when ingest_seq % 4 = 0 then null else (ingest_seq % 5 + 1)::int end as relevance_score from papers p join documents on ingest_seq = doc_id)"""
+
+
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(

@@ -1,6 +1,7 @@
 """Operators on small hand-made relations."""
 
 import json
+import random
 
 from citemill.operators import boundary, dedup, gaps, graph, metrics, resolve, traverse
 from citemill.operators.components import connected_components
@@ -15,12 +16,49 @@ def test_components_of_chains_cycles_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_bridging_record_joins_the_first_key_only(spark):
-    rows = spark.createDataFrame([(1, ["a"]), (2, ["b"]), (3, ["a", "b"]), (4, ["b"])], "ingest_seq long, keys array<string>")
-    whole = dedup.clusters(rows)
-    assert {r.cluster for r in whole.collect()} == {1}
-    folded = {r.ingest_seq: r.survivor for r in dedup.first_match(rows, whole).collect()}
-    assert folded == {1: 1, 2: 2, 3: 1, 4: 2}
+def test_components_take_few_passes_on_an_ordered_chain(spark):
+    chain = spark.range(1, 10_001).selectExpr("id as a", "id - 1 as b")
+    passes = []
+    got = connected_components(chain, one_task=0, rounds=passes)
+    assert got.count() == 10_001 and got.where("component <> 0").count() == 0 and sum(passes) <= 16
+    mixed = spark.range(1, 3000).selectExpr("id as a", "xxhash64(id) % 500 as b")
+    assert sorted(connected_components(mixed, one_task=0).collect()) == sorted(connected_components(mixed).collect())
+
+
+def _records(spark, rows):
+    kind = "ingest_seq long, id string, doi string, arxiv string, title string, native map<string,string>"
+    df = spark.createDataFrame([(i, f"r{i}", *r) for i, r in enumerate(rows)], kind)
+    slots = dedup.match_slots(F.col("doi"), F.col("arxiv"), F.col("title"), F.col("id"), F.col("native"))
+    return df.withColumn("slots", slots).withColumn("keys", F.array_distinct(F.transform("slots", lambda x: x["key"])))
+
+
+def _plain_fold(records):
+    """Survivor of each record: keys of the merged record are registered again after every merge."""
+    state, index, out = {}, {}, {}
+    for r in records:
+        keys = lambda x: [k for k in ("doi:" + x["doi"] if x["doi"] else "", "arxiv:" + x["arxiv"] if x["arxiv"] else "", "title:" + x["title"], x["id"]) if k] + [f"{n}:{v}" for n, v in x["native"].items() if v]
+        hit = [index[k] for k in keys(r) if k in index]
+        if hit:
+            base = state[hit[0]]
+            base["doi"], base["arxiv"] = base["doi"] or r["doi"], base["arxiv"] or r["arxiv"]
+            base["native"] = {**r["native"], **base["native"]}
+        else:
+            base = state[r["seq"]] = dict(r)
+        out[r["seq"]] = base["seq"]
+        index.update(dict.fromkeys(keys(base), base["seq"]))
+    return out
+
+
+def test_fold_follows_the_keys_of_merged_records(spark):
+    rows = _records(spark, [("", "", "alpha", {}), ("10.1/a", "", "alpha", {}), ("10.1/a", "", "beta", {}), ("", "", "beta", {})])
+    folded = {r.ingest_seq: r.survivor for r in dedup.first_match(rows, dedup.clusters(rows)).collect()}
+    assert folded == {0: 0, 1: 0, 2: 0, 3: 3}  # the title that the cluster didn't take isn't known
+    rnd = random.Random(11)
+    for _ in range(3):
+        given = [(rnd.choice(["", "", f"10.1/{rnd.randrange(9)}"]), rnd.choice(["", "", f"21.{rnd.randrange(9)}"]), f"t{rnd.randrange(12)}", {f"n{rnd.randrange(2)}": str(rnd.randrange(12))}) for _ in range(60)]
+        df = _records(spark, given)
+        want = _plain_fold([{"seq": i, "id": f"r{i}", "doi": d, "arxiv": a, "title": t, "native": n} for i, (d, a, t, n) in enumerate(given)])
+        assert {r.ingest_seq: r.survivor for r in dedup.first_match(df, dedup.clusters(df)).collect()} == want
 
 
 def _graph(spark):
