@@ -137,7 +137,7 @@ def document_vectors(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, vector binary")
+    return rows.mapInArrow(run, "doc_id long, row binary, vector binary")
 
 
 class Network:
@@ -210,7 +210,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn_from: Column | None
             score = net.score(x) if net else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "row", "score"])
 
-    return vectors.mapInArrow(run, "doc_id long, row long, score double")
+    return vectors.mapInArrow(run, "doc_id long, row binary, score double")
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> DataFrame:

@@ -1,17 +1,28 @@
-"""Whole rows by a hash of their id and text: what a filtering stage decides on."""
+"""Whole rows by a hash of their id and text (what a filtering stage decides on), and joins with hot groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hashes (8 bytes each) that are sent to all executors at most; beyond it a join is shuffled.
+#: Hashes (16 bytes each) that are sent to all executors at most; beyond it a join is shuffled.
 SMALL_KEYS = 2_000_000
+#: Rows of a table of groups that are sent to all executors at most, and rows that make a group a hot one.
+SMALL_GROUPS, HOT = 250_000, 1_000
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Rows that share it have the same id and text; nulls count as values of their own."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(text, F.lit("\x00")))
+    """128 bits; rows that share it have the same id and text; nulls count as values of their own."""
+    body = F.when(F.col(text).isNull(), F.lit("n")).otherwise(F.concat(F.lit("t"), F.col(text)))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), F.lit(":"), body)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with further underscores in front while a column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def small(keys: DataFrame) -> DataFrame:
@@ -21,5 +32,23 @@ def small(keys: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of `docs` whose key isn't in `keys` (one column of hashes, in a written table)."""
-    gone = small(keys.toDF("_row"))
-    return docs.withColumn("_row", row_key()).join(gone, "_row", "left_anti").select(*docs.columns)
+    key = free_name(docs, "_row")
+    gone = small(keys.toDF(key))
+    return docs.withColumn(key, row_key()).join(gone, key, "left_anti").select(*docs.columns)
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups`, a written table of one row for each value of `on`, with its number of rows as `size`.
+
+    A group of any size is dealt as its rows lie: few groups are sent to all executors; of many groups, those
+    with more than `HOT` rows are (there are `rows` / `HOT` at most), and the others meet in a shuffled join.
+    """
+    if groups.count() <= SMALL_GROUPS:
+        return rows.join(F.broadcast(groups), on, how)
+    hot = groups.where(F.col(size) > HOT)
+    n = hot.count()
+    if not n:
+        return rows.join(groups, on, how)
+    hot = F.broadcast(hot) if n <= SMALL_GROUPS else hot
+    others = rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(size) <= HOT), on, how)
+    return rows.join(hot, on).unionByName(others)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from citemill.llm import decontam, licenses, linededup, neardup, topk
+from citemill.llm import rows as llm_rows
 from pyspark.sql import functions as F
 
 from tests.llm.common import docs, near_groups
@@ -29,16 +30,34 @@ def _copies(seed, base=12, each=9, words=60):
 ODD = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "one"), (1004, "One"), (1005, "x " * 30_000), (1006, "X " * 30_001)]
 
 
-@pytest.mark.parametrize("large", [2, 64])
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, n, large):
+@pytest.mark.parametrize(("n", "large", "groups", "exact"), [(2, 2, 0, False), (5, 2, 250_000, False), (2, 64, 250_000, False), (2, 2, 250_000, True), (5, 64, 0, True)])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, n, large, groups, exact):
     monkeypatch.setattr(neardup, "LARGE", large)
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    rows = _copies(n) + ODD
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), n=n).collect()}
+    monkeypatch.setattr(llm_rows, "SMALL_GROUPS", groups)
+    monkeypatch.setattr(llm_rows, "HOT", 5)
+    rows = _copies(n) + [(2000 + i, "again and again and again") for i in range(9)] + ODD
+    if large == 2:
+        monkeypatch.setattr(neardup, "DRAWS", (1,))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), n=n, exact=exact).collect()}
     assert got == near_groups(rows, n, 80)
 
 
+def test_blocks_of_one_large_component_dont_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rows = [(i, 100, 0) for i in range(40)] + [(50 + i, 200 + i // 2, 0) for i in range(6)] + [(70, 300, 70), (71, 301, 70)]
+    dealt = neardup._dealt(spark.createDataFrame(rows, "vertex long, component long, head long")).collect()
+    seen = {}
+    for r in dealt:
+        seen.setdefault((r.cluster, r.x, r.y), set()).add(r.vertex)
+    component, met = {v: c for v, c, _ in rows}, set()
+    for task in seen.values():
+        assert len(task) < 28 and len({component[v] for v in task}) > 1
+        met |= {(a, b) for a in task for b in task if a < b}
+    cluster = {r.vertex: r.cluster for r in dealt}
+    assert all((a, b) in met for a in component for b in component if a < b and cluster[a] == cluster[b] and component[a] != component[b])
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     text = "a b c d e f g h i j"
     rows = [(None, text), (3, text), (3, text), (3, "q r s t u"), (None, "alone here now"), (4, "")]
