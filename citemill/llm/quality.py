@@ -2,13 +2,14 @@
 
 Random indexing: each of `BUCKETS` word buckets (hashed lower-cased words) has a fixed sparse random
 index vector; a bucket's context vector is the sum of the index vectors of the words around it, within
-`WINDOW` places, over all documents. A document's vector is the mean of its words' context vectors at
-unit length, beside the mean of the index vectors of its words' forms: letter case, punctuation, digits, length
-and whether the word repeats one of the two before it. Counts of all words of all documents go in; each
-task passes on one table of fixed size.
+`WINDOW` places, over all documents. Words as they are written are a second vocabulary, by their form (letter
+case, punctuation, digits, length, and whether the word repeats one of the two before it), with context
+vectors from the forms around them, about their mean. A document's vector is the mean of its words' context
+vectors at unit length in both vocabularies; nothing else goes into the network. All words of all documents
+are counted; each task passes on one table of fixed size.
 
 The network has one hidden layer and one output, in numpy; it learns from at most `SAMPLE` labelled
-documents, those of the smallest hash, and a fifth of them sets the temperature that calibrates its
+documents of the table, those of the smallest hash, and a fifth of them sets the temperature that calibrates its
 probabilities. Labels, languages, sources and ids are never inputs of a score. Every whole text of the
 table is scored.
 
@@ -37,7 +38,8 @@ SAMPLE, HIDDEN, EPOCHS, RATE = 20_000, 32, 40, 0.003
 PREDICT, REJECT = 0.7, 0.3
 #: Blocks that a task's table is sent in, and streams that each block is added up in first.
 BLOCKS, STREAMS = 16, 32
-WIDTH = DIMS + FORM_DIMS + 1
+WIDTH = DIMS + FORM_DIMS
+WORD_PART = BUCKETS * DIMS
 
 
 def _random_index(rows: int, dims: int, filled: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,22 +70,33 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, j, (h >> tk.U(64 - 14)).astype(np.int64), doc, form
 
 
-def context_table(docs: DataFrame) -> np.ndarray:
-    """The context vectors of all buckets, from all words of `docs`."""
+def _form_index() -> np.ndarray:
+    places, signs = _random_index(FORMS, FORM_DIMS, FILLED, 2)
+    out = np.zeros((FORMS, FORM_DIMS))
+    np.put_along_axis(out, places, signs, 1)
+    return out
+
+
+def context_tables(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The context vectors of all buckets and of all forms, from all words of `docs`."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = _random_index(BUCKETS, DIMS, FILLED, 1)
-        total = np.zeros(BUCKETS * DIMS)
+        total, beside, uses = np.zeros(WORD_PART), np.zeros(FORMS * FORMS), np.zeros(FORMS)
         for batch in batches:
-            for _, _, w, doc, _ in _words(batch.column(0)):
+            for _, _, w, doc, form in _words(batch.column(0)):
+                uses += np.bincount(form, minlength=FORMS)
                 for gap in range(1, WINDOW + 1):
                     same = doc[gap:] == doc[:-gap]
                     left, right = w[:-gap][same], w[gap:][same]
+                    beside += np.bincount(form[:-gap][same] * FORMS + form[gap:][same], minlength=len(beside))
                     for at, near in ((left, right), (right, left)):
                         for f in range(FILLED):
                             total += np.bincount(at * DIMS + places[near, f], signs[near, f], len(total))
-        if total.any():
-            yield _blocks(dict(enumerate(total.reshape(BLOCKS, -1))))
+        if uses.any():
+            beside = beside.reshape(FORMS, FORMS)
+            forms = (beside + beside.T) @ _form_index()
+            yield _blocks(dict(enumerate(np.concatenate((total, forms.ravel(), uses)).reshape(BLOCKS, -1))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -95,12 +108,18 @@ def context_table(docs: DataFrame) -> np.ndarray:
     kind = "block int, part binary"
     found = docs.select("text").mapInArrow(gather, kind)
     found = found.withColumn("stream", F.monotonically_increasing_id() % STREAMS).repartition("block", "stream").drop("stream").mapInArrow(add, kind)
-    table_ = np.zeros((BLOCKS, BUCKETS * DIMS // BLOCKS))
-    for block, part in found.repartition("block").mapInArrow(add, kind).collect():  # BLOCKS rows, 4 MB in all
+    size = WORD_PART + FORMS * FORM_DIMS + FORMS
+    table_ = np.zeros((BLOCKS, size // BLOCKS))
+    for block, part in found.repartition("block").mapInArrow(add, kind).collect():  # BLOCKS rows, 5 MB in all
         table_[block] += np.frombuffer(part)
-    vectors = table_.reshape(BUCKETS, DIMS)
-    length = np.sqrt((vectors**2).sum(1, keepdims=True))
-    return (vectors / np.maximum(length, 1e-9)).astype(np.float32)
+    words, forms, uses = np.split(table_.ravel(), [WORD_PART, size - FORMS])
+    forms = forms.reshape(FORMS, FORM_DIMS) / np.maximum(uses, 1)[:, None]
+    forms -= uses @ forms / max(uses.sum(), 1)
+    return _unit(words.reshape(BUCKETS, DIMS)), _unit(forms)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return (vectors / np.maximum(np.sqrt((vectors**2).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
 
 
 def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -109,15 +128,12 @@ def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def document_vectors(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
+def document_vectors(docs: DataFrame, contexts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, row (its key) and vector (32-bit floats) of every row of `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = shared.value
-        places, signs = _random_index(FORMS, FORM_DIMS, FILLED, 2)
-        forms = np.zeros((FORMS, FORM_DIMS), np.float32)
-        np.put_along_axis(forms, places, signs.astype(np.float32), 1)
+        tables = shared.value
         for batch in batches:
             for i, j, w, doc, form in _words(batch.column(2)):
                 m = j - i
@@ -126,11 +142,13 @@ def document_vectors(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
                 full = count > 0
                 begin = (np.cumsum(count) - count)[full]
                 if len(w):
-                    out[full, :DIMS] = np.add.reduceat(contexts[w], begin, axis=0)
-                    uses = np.bincount(doc * FORMS + form, minlength=m * FORMS).reshape(m, FORMS) if m * FORMS < 1 << 22 else None
-                    out[full, DIMS : DIMS + FORM_DIMS] = (uses[full] @ forms) if uses is not None else np.add.reduceat(forms[form], begin, axis=0)
+                    out[full, :DIMS] = np.add.reduceat(tables[0][w], begin, axis=0)
+                    if m * FORMS < 1 << 22:  # the same sums by counts, where they fit
+                        uses = np.bincount(doc * FORMS + form, minlength=m * FORMS).reshape(m, FORMS)
+                        out[full, DIMS:] = uses[full] @ tables[1]
+                    else:
+                        out[full, DIMS:] = np.add.reduceat(tables[1][form], begin, axis=0)
                     out[full] /= count[full, None]
-                out[:, -1] = np.log1p(count) / 10
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, m), batch.column(1).slice(i, m), pa.array([x.tobytes() for x in out], pa.binary())],
                     names=["doc_id", "row", "vector"],
@@ -192,12 +210,12 @@ def remainder(column: Column, modulus: int) -> Column:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE) -> DataFrame:
     """doc_id, row (its key) and score of every row of `docs`; `labels` (doc_id, quality) teaches, where `learn_from` holds."""
-    vectors = materialize(document_vectors(docs, context_table(docs)), "vectors")
+    vectors = materialize(document_vectors(docs, context_tables(docs)), "vectors")
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     if learn_from is not None:
         known = known.where(learn_from)
     order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("quality")).cast("binary"))
-    chosen = known.orderBy(order, "quality").limit(sample)
+    chosen = known.join(vectors.select("doc_id"), "doc_id", "left_semi").orderBy(order, "quality").limit(sample)
     rows = vectors.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "vector")  # `sample` ids at most
     met = rows.orderBy(order, "quality", "vector").limit(sample).toPandas()
     x = np.array([np.frombuffer(v, np.float32) for v in met["vector"]]).reshape(-1, WIDTH)

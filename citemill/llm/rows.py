@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashes (16 bytes each) that are sent to all executors at most; beyond it a join is shuffled.
-SMALL_KEYS = 2_000_000
+SMALL_KEYS = 500_000
 #: Rows of a table of groups that are sent to all executors at most, and rows that make a group a hot one.
 SMALL_GROUPS, HOT = 250_000, 1_000
 

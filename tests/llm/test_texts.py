@@ -111,6 +111,58 @@ def test_classifier_on_held_out_labels(spark):
     assert ((scored.predicted == 1) == (scored.quality == 1)).mean() > 0.95
 
 
+def test_classifier_learns_from_labels_of_the_table(spark):
+    rows = [(i, "Some plain words are here, as always." if i % 2 else "zz9 !! QQ zz9 zz9 !!") for i in range(200)]
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    out = quality.quality_scores(docs(spark, rows), labels, sample=100).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in out)
+
+
+def _plain_contexts(texts):
+    """Context vectors of words and forms by plain loops."""
+    places, signs = quality._random_index(quality.BUCKETS, quality.DIMS, quality.FILLED, 1)
+    index = quality._form_index()
+    words, forms, uses = np.zeros((quality.BUCKETS, quality.DIMS)), np.zeros((quality.FORMS, quality.FORM_DIMS)), np.zeros(quality.FORMS)
+    given = [next(iter(quality._words(pa.array([t])))) for t in texts if t and t.split()]
+    for _, _, w, _, f in given:
+        for i in range(len(w)):
+            uses[f[i]] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(w):
+                    words[w[i], places[w[j]]] += signs[w[j]]
+                    forms[f[i]] += index[f[j]]
+    forms /= np.maximum(uses, 1)[:, None]
+    forms -= (uses[:, None] * forms).sum(0) / uses.sum()
+    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    return norm(words), norm(forms), given
+
+
+def test_vectors_are_those_of_plain_loops(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["The", "cat", "sat", "on", "mats,", "A1", "--", "cat"]) for _ in range(rnd.randrange(12))) for _ in range(40)] + [None, "", "one"]
+    words_, forms, given = _plain_contexts(texts)
+    df = docs(spark, list(enumerate(texts))).repartition(3)
+    got = quality.context_tables(df)
+    assert np.allclose(got[0], words_, atol=1e-5) and np.allclose(got[1], forms, atol=1e-5)
+    vectors = {r.doc_id: np.frombuffer(r.vector, np.float32) for r in quality.document_vectors(df, got).collect()}
+    full = [i for i, t in enumerate(texts) if t and t.split()]
+    for i, (_, _, w, _, f) in zip(full, given, strict=True):
+        assert np.allclose(vectors[i], np.concatenate((words_[w].mean(0), forms[f].mean(0))), atol=1e-5)
+    assert not vectors[40].any() and not vectors[41].any()
+
+
+def test_temperature_is_the_best_of_its_grid():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (600, 5))
+    y = (x[:, 0] + rng.normal(0, 1.5, 600) > 0).astype(int)
+    net = quality.Network(x, y)
+    order = np.random.default_rng(7).permutation(600)[:120]
+    z = net._logits((x[order] - net.center) / net.scale)
+    loss = lambda t: float(np.mean(np.log1p(np.exp(-np.where(y[order] == 1, 1, -1) * z / t))))
+    assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in np.exp(np.linspace(-1.5, 2.5, 81)))
+    assert loss(net.temperature) < loss(0.25)
+
+
 def test_classifier_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, 1, 0), (99, 0, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.quality_scores(docs(spark, ODD), labels).collect()
