@@ -2,12 +2,14 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from citemill.llm import lmscore, mixing, quality, queries, sharding, textkernel, tokencounts
+from citemill.llm import lattice as lattice_module
 from citemill.llm.lattice import Lattice, load_pieces
 from pyspark.sql import functions as F
 
@@ -63,23 +65,36 @@ def test_edited_counts_of_odd_rows(spark):
 def _segmentations(word, weights):
     ways = [1.0] + [0.0] * len(word)
     for end in range(1, len(word) + 1):
-        ways[end] = sum(ways[k] * weights.get(word[k:end], 0.0) for k in range(end))
+        ways[end] = sum(ways[k] * weights.get(word[k:end], 0.0) for k in range(max(0, end - 40), end))
     return ways[-1]
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
     rnd = random.Random(2)
     weights = {bytes([b]): 1e-3 for b in range(256)} | {w: rnd.random() / 50 for w in (b" a", b" ab", b"ab", b"abc", b"ca", b"bc", b" abcab")}
     pieces = sorted(weights)
     lattice = Lattice(pieces, np.log([weights[p] for p in pieces]))
-    given = [b"abcab", b"", b"zz", "é".encode(), b"abcabcabc" * 40]
-    for at, matrix in Lattice.by_length(given):
-        got = lattice.forward(matrix)[:, -1]
-        for i, g in zip(at, got, strict=True):
-            want = _segmentations(b" " + given[i], weights)
-            assert want == 0 or g == pytest.approx(math.log(want), abs=1e-9)
-        uses = lattice.expected(matrix, np.ones(len(at)))
-        assert sum(len(p) * u for p, u in zip(pieces, uses, strict=True)) == pytest.approx(matrix.size)
+    given = [b"abcab", b"", b"zz", "é".encode(), b"abcabcabc" * 10]
+    for long in (512, 0):
+        monkeypatch.setattr(lattice_module, "LONG", long)
+        for at, matrix in Lattice.by_length(given):
+            both = lattice.by_weights(matrix, np.stack((lattice.logp[:-1], np.log(np.full(len(pieces), 0.01)))))
+            for i, g, h in zip(at, lattice.totals(matrix), both, strict=True):
+                assert g == pytest.approx(math.log(_segmentations(b" " + given[i], weights)), abs=1e-9)
+                assert h == pytest.approx((g, math.log(_segmentations(b" " + given[i], dict.fromkeys(pieces, 0.01)))), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 7, 127, 128, 129, 1000, 40_000])
+def test_long_words_are_scored_by_stretches(size):
+    pieces = [p for p, _ in load_pieces(lmscore.MODEL_FILE)][::3] + [bytes([b]) for b in range(256)]
+    pieces = sorted(set(pieces))
+    lattice = Lattice(pieces, lmscore.power_weights(-np.arange(len(pieces), dtype=float))[2])
+    word = np.frombuffer(("e5thingand/unbroken" * size)[:size].encode(), np.uint8)
+    began = time.time()
+    got = lattice._long(word)
+    assert time.time() - began < 20
+    if size <= 1000:
+        assert got == pytest.approx(lattice.forward(word[None, :])[0, -1], rel=1e-12)
 
 
 @pytest.mark.parametrize("hot", [0, 3, 1 << 17])
@@ -92,7 +107,22 @@ def test_language_model_counts(spark, hot):
     want = sorted(((str(d), len(words(t)) + 1, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), None]), sum(c[w] > 0 for w in [*words(t), None])) for d, t in rows))
     assert [(str(r.doc_id), r.n_tokens, r.n_known) for r in got] == [(d, k, m) for d, k, _, m in want]
     assert [r.base_score for r in got] == pytest.approx([b for *_, b, _ in want])
-    assert all(r.train_tokens == n and r.score < 0 for r in got)
+    assert all(r.train_tokens == n for r in got)
+    # the score of a text is that of all segmentations of its words under the likeliest of the weights, and of its end
+    vocabulary = load_pieces(lmscore.MODEL_FILE)
+    pieces, logps = [p for p, _ in vocabulary], lmscore.power_weights(np.array([x for _, x in vocabulary]))
+    ways = []
+    for logp in logps:
+        weights = dict(zip(pieces, np.exp(logp), strict=True))
+        ways.append({w: math.log10(_segmentations(b" " + w, weights)) for _, t in rows for w in set(words(t))})
+    likeliest = max(ways, key=lambda lp: sum(k * lp[w] for w, k in c.items() if w is not None))
+    ends, inside = math.log10((c[None] + 0.5) / (n + 1)), math.log10(1 - (c[None] + 0.5) / (n + 1))
+    plain = sorted((str(d), len(words(t)) + 1, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), None]), ends + sum(likeliest[w] + inside for w in words(t))) for d, t in rows)
+    assert [r.score for r in got] == pytest.approx([p[3] for p in plain])
+    kinds, once, twice = v - 1, sum(k == 1 for w, k in c.items() if w is not None), sum(k == 2 for w, k in c.items() if w is not None)
+    off = (once + 1) / (once + 2 * twice + 2)
+    own = lambda w: math.log10(max(c[w] - off, 0) / n + off * kinds / n * 10 ** likeliest[w])
+    assert sorted(r.word_score for r in got) == pytest.approx(sorted(math.log10(c[None] / n) + sum(map(own, words(t))) for _, t in rows))
     assert lmscore.score_texts(docs(spark, rows).where("false"), F.lit(True)).count() == 0
 
 
