@@ -137,7 +137,58 @@ def test_lines_within_one_edit_go(spark):
 
 
 def test_band_misses_are_rare():
-    assert (1 - 0.4) ** licenses.BANDS < 1e-7
+    assert [licenses.window_size(m) for m in (1, 3, 4, 6, 7, 9, 10, 13, 37, 49)] == [4, 4, 8, 8, 12, 12, 16, 24, 64, 96]
+    for m in range(1, 5000):
+        size = licenses.window_size(m)
+        assert size % licenses.STARTS == 0 and m + size // licenses.STARTS <= size and (m < 3 or size < 2.01 * m)
+        assert (1 - licenses.least_similarity(m)) ** licenses.BANDS <= 1.01e-8
+
+
+def _contained(text, templates):
+    """Best containments by all windows."""
+    out = set()
+    w = licenses.template_words(text or "")
+    have = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    for i, (_, body) in enumerate(templates):
+        t = licenses.template_words(body)
+        want = {tuple(t[j : j + 3]) for j in range(len(t) - 2)}
+        if not want:
+            continue
+        size = licenses.window_size(len(t) - 2)
+        best = None
+        for at in range(0, len(have), size // 4):
+            own = have[at : at + size]
+            got = want & set(own)
+            digits = {s for s in want if any(c.isdigit() for x in s for c in x)}
+            if got and len(got) >= 0.8 * len(want) and digits <= got:
+                places = [at + k for k, s in enumerate(own) if s in want]
+                best = max(best or (0,), (len(got), -places[0], -places[-1] - 2))
+        if best:
+            out.add((i, best[0], -best[1], -best[2]))
+    return out
+
+
+def test_licences_like_all_windows(spark):
+    rnd = random.Random(6)
+    rows = []
+    for k in range(120):
+        body = licenses.template_words(rnd.choice(licenses.TEMPLATES)[1])
+        for _ in range(rnd.choice([0, 1, 2, len(body) // 20])):
+            body[rnd.randrange(len(body))] = rnd.choice(["x", "2", "the"])
+        pad = lambda: [rnd.choice(["the", "software", "and", "a", f"w{rnd.randrange(50)}"]) for _ in range(rnd.randrange(60))]
+        rows.append((k, " ".join(pad() + body + pad() + (body if k % 9 == 0 else []))))
+    rows += [(7, rows[3][1]), (3, rows[3][1]), (None, rows[3][1])]
+    got = {}
+    for r in licenses.license_matches(docs(spark, rows)).collect():
+        got.setdefault(r.row, [r.doc_id, set()])[1].add((r.template, r.matched, r.start, r.end))
+    want = sorted(((str(d), sorted(_contained(t, licenses.TEMPLATES))) for d, t in set(rows)), key=str)
+    assert sorted(((str(d), sorted(m)) for d, m in got.values()), key=str) == [w for w in want if w[1]] and len(got) > 60
+
+
+def test_licences_of_another_version_do_not_match(spark):
+    rows = [(v, f"This work is licensed under the GNU General Public License, version {v}.") for v in (1, 2, 3)]
+    assert {(r.doc_id, r.license) for r in licenses.license_matches(docs(spark, rows)).collect()} == {(2, "GPL-2.0"), (3, "GPL-3.0")}
+    assert licenses.license_matches(docs(spark, rows).where("false")).count() == 0
 
 
 def test_licences(spark):
