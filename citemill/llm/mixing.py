@@ -12,7 +12,8 @@ doesn't name share `other` in proportion to their rows (0: they go). Null source
 Null or empty texts are rows like others. Rows without an id and rows that share an id are told apart by
 a hash of their source and text, which joins the id in their seeds. Rows that repeat in full get equal
 counts. An empty table gives an empty result. Extra columns pass through; names starting with `_` are
-reserved.
+reserved. `mixture` returns the columns it was given as they were, whatever their names; the functions that
+add `copy` or `position` put it in the place of an input column of that name.
 """
 
 from __future__ import annotations
@@ -97,13 +98,14 @@ def poisson_replicate(
     seed: int = SEED,
     source: str = "source",
     keys: tuple[str, ...] | None = None,
+    copy: str = "copy",
 ) -> DataFrame:
-    """`docs` with each row as often as its Poisson count says, plus `copy` (0-based).
+    """`docs` with each row as often as its Poisson count says, plus the column `copy` (0-based).
 
     `keys` are the columns that tell rows apart; by default doc_id, source and text do.
     """
     if keys is None:
-        return poisson_replicate(told_apart(docs, content(source)), targets, other, seed, source, ("_id",)).drop("_id")
+        return poisson_replicate(told_apart(docs, content(source)), targets, other, seed, source, ("_id",), copy).drop("_id")
     named = docs.where(F.col(source).isin(*targets)).groupBy(source).count()
     counts = {r[0]: r[1] for r in named.collect()}  # one row per configured source
     rates, rest = repetition_rates(counts, docs.count(), targets, other)
@@ -120,12 +122,12 @@ def poisson_replicate(
     if max(rest, *rates.values(), 0.0) <= AT_ONCE:
         rows = rows.withColumn("_times", drawn(F.col("_u")))
         rows = rows.where("_times > 0").drop("_steps", "_u")
-        return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_times")
     more = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, i: n + drawn(uniform(seeded_key(*parts, F.lit("draw"), i, seed=seed))))
     rows = rows.withColumn("_draws", draws).withColumn("_times", F.when(F.col("_draws") == 1, drawn(F.col("_u"))).otherwise(more))
     rows = rows.where("_times > 0").drop("_steps", "_u", "_draws")
     rows = rows.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("_times") - 1, F.lit(RUN))))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (RUN - 1), F.col("_times") - 1))))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (RUN - 1), F.col("_times") - 1))))
     return rows.drop("_from", "_times")
 
 
@@ -142,8 +144,8 @@ def global_shuffle(rows: DataFrame, keys: tuple[str, ...], seed: int = SEED) ->
 
 def mixture(docs: DataFrame, targets: dict[str, float], other: float = 0.0, seed: int = SEED) -> DataFrame:
     """`docs` replicated to the target weights, dealt and sorted in a seeded random order of all copies."""
-    copies = poisson_replicate(told_apart(docs, content()), targets, other, seed, keys=("_id",))
-    ordered = copies.orderBy(seeded_key(F.col("_id"), F.col("copy"), F.lit("order"), seed=seed), "_id", "copy")
+    copies = poisson_replicate(told_apart(docs, content()), targets, other, seed, keys=("_id",), copy="_copy")
+    ordered = copies.orderBy(seeded_key(F.col("_id"), F.col("_copy"), F.lit("order"), seed=seed), "_id", "_copy")
     return ordered.select(*docs.columns)
 
 

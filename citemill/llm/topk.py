@@ -14,8 +14,8 @@ at its ends and tie there; a component whose product with the scale is beyond th
 at that range's end.
 
 Vectors that are null, empty, or hold null or non-finite components take no part. Vectors of different
-widths don't meet. A null id can be found (last among ties) but isn't a query. Rows that share a
-query's id are not its candidates; rows that repeat an id are found as often as they occur. An empty
+widths don't meet. A null id can be found (last among ties) but isn't a query. A query's candidates are all
+rows but its own, so rows that repeat its id are found, and each row with a query's id is a query. An empty
 table gives an empty result. Extra columns don't matter.
 """
 
@@ -51,14 +51,15 @@ def _lengths(vectors: list[np.ndarray] | np.ndarray) -> np.ndarray:
 
 
 def _integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """id, dim, length, body (whole numbers as doubles) of every vector that takes part."""
+    """id, row (its number), dim, length, body (whole numbers as doubles) of every vector that takes part."""
     v = F.col(vec_col)
     fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fine, v.cast("array<double>")).alias("v")).where("v is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.when(fine, v.cast("array<double>")).alias("v"))
+    rows = rows.where("v is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             with np.errstate(over="ignore"):
                 flat = np.nan_to_num(np.floor(lists.flatten().to_numpy(zero_copy_only=False) * scale))
             ends = np.cumsum(lists.value_lengths().to_numpy())
@@ -66,14 +67,15 @@ def _integers(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(p) for p in parts], pa.int32()),
                     pa.array(_lengths(parts), pa.float64()),
                     pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
-                names=["id", "dim", "length", "body"],
+                names=["id", "row", "dim", "length", "body"],
             )
 
-    return rows.mapInArrow(run, "id long, dim int, length double, body binary")
+    return rows.mapInArrow(run, "id long, row long, dim int, length double, body binary")
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
@@ -87,26 +89,27 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             nonlocal made
             some = held.pop(dim)
             made += 1
-            ids = np.array([NO_ID if r[1] is None else r[1] for r in some], np.int64)
+            ids = np.array([[NO_ID if r[1] is None else r[1] for r in some], [r[4] for r in some]], np.int64)
             return pa.RecordBatch.from_pylist(
                 [{"slab": some[0][0], "block": made, "dim": dim, "longest": max(r[2] for r in some), "ids": ids.tobytes(), "body": b"".join(r[3] for r in some)}],
                 schema=pa.schema([("slab", pa.int32()), ("block", pa.int32()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("body", pa.binary())]),
             )
 
         for batch in batches:
-            for slab, id_, dim, length, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(dim, []).append((slab, id_, length, body))
+            for slab, id_, row, dim, length, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(dim, []).append((slab, id_, length, body, row))
                 if len(held[dim]) == size:
                     yield pack(dim)
         for dim in list(held):
             yield pack(dim)
 
     dealt = rows.repartitionByRange(SLABS, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
-    return dealt.select(F.spark_partition_id().alias("slab"), "id", "dim", "length", "body").mapInArrow(run, _BLOCKS)
+    return dealt.select(F.spark_partition_id().alias("slab"), "id", "row", "dim", "length", "body").mapInArrow(run, _BLOCKS)
 
 
-def _unpack(dim: int, ids: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(body, np.float64).reshape(-1, dim)
+def _unpack(dim: int, ids: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row numbers and vectors of a block."""
+    return *np.frombuffer(ids, np.int64).reshape(2, -1), np.frombuffer(body, np.float64).reshape(-1, dim)
 
 
 def _threshold(score: int) -> float:
@@ -114,7 +117,7 @@ def _threshold(score: int) -> float:
     return -np.inf if score == LOWEST else float(score)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, least: np.ndarray, rotate: np.ndarray, k: int):
+def _best(q_rows: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, v: np.ndarray, least: np.ndarray, rotate: np.ndarray, k: int):
     """(query number, vector number, score) of each query's k best that reach its threshold `least`."""
     h = min(LEADING, q.shape[1])
     q_top, v_top = np.abs(q).max(1, initial=0), np.abs(v).max(1, initial=0)
@@ -125,7 +128,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, leas
         rest_q, rest_v = np.sqrt((qr[:, h:] ** 2).sum(1)), np.sqrt((vr[:, h:] ** 2).sum(1))
         bound = qr[:, :h] @ vr[:, :h].T + np.outer(rest_q, rest_v)
         slack = np.outer(q_len[reach], v_len) * 1e-9 + 1
-        alive = ~(bound + slack < least[reach, None]) & (q_ids[reach, None] != ids[None, :])
+        alive = ~(bound + slack < least[reach, None]) & (q_rows[reach, None] != rows[None, :])
         largest = np.outer(q_top[reach], v_top) * q.shape[1]
     out = []
     for row, n in enumerate(reach):
@@ -162,7 +165,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for dim, ids, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                v = np.clip(_unpack(dim, ids, body)[1], -TURNED, TURNED)
+                v = np.clip(_unpack(dim, ids, body)[2], -TURNED, TURNED)
                 sums[dim] = sums.get(dim, 0) + v.T @ v
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["dim", "m"]
@@ -180,9 +183,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         rotations, tops = shared.value
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, q = _unpack(r["dim"], r["ids"], r["body"])
-                ids, v = _unpack(r["dim"], *tops[r["dim"]])
-                n, _, score = _best(q_ids, q, ids, v, np.full(len(q), -np.inf), rotations[r["dim"]], k)
+                _, q_rows, q = _unpack(r["dim"], r["ids"], r["body"])
+                n, _, score = _best(q_rows, q, *_unpack(r["dim"], *tops[r["dim"]]), np.full(len(q), -np.inf), rotations[r["dim"]], k)
                 least = np.full(len(q), -np.inf)
                 full = np.flatnonzero(np.bincount(n, minlength=len(q)) == k)
                 for i in full:
@@ -202,31 +204,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         raised: dict = {}
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, q = _unpack(r["dim"], r["q_ids"], r["q_body"])
-                ids, v = _unpack(r["dim"], r["ids"], r["body"])
+                q_ids, q_rows, q = _unpack(r["dim"], r["q_ids"], r["q_body"])
+                ids, rows, v = _unpack(r["dim"], r["ids"], r["body"])
                 key = (r["dim"], r["qslab"], r["qblock"])
                 least = raised.setdefault(key, np.frombuffer(r["least"]).copy()) if len(raised) < 10_000 else np.frombuffer(r["least"]).copy()
-                n, at, s = _best(q_ids, q, ids, v, least, rotations[r["dim"]], k)
+                n, at, s = _best(q_rows, q, ids, rows, v, least, rotations[r["dim"]], k)
                 count = np.bincount(n, minlength=len(q))
                 ends = np.cumsum(count)
                 for i in np.flatnonzero(count[: len(q)] == k):
                     least[i] = max(least[i], _threshold(s[ends[i] - 1]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(n), r["qslab"]), pa.int32()),
-                        pa.array(np.full(len(n), r["qblock"]), pa.int32()),
-                        pa.array(n, pa.int64()),
+                        pa.array(q_rows[n], pa.int64()),
                         pa.array(q_ids[n], pa.int64()),
                         pa.array(ids[at], pa.int64()),
                         pa.array(s, pa.int64()),
                     ],
-                    names=["qslab", "qblock", "n", "query_id", "vec_id", "score"],
+                    names=["query", "query_id", "vec_id", "score"],
                 )
 
     pairs = met.select("dim", "ids", "body", "qslab", "qblock", "q_ids", "q_body", "least").mapInArrow(
-        score, "qslab int, qblock int, n long, query_id long, vec_id long, score long"
+        score, "query long, query_id long, vec_id long, score long"
     )
-    order = Window.partitionBy("qslab", "qblock", "n", "query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
 
@@ -237,14 +237,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+with v as materialized (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
   where embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id,
+  select q.row, q.vec_id as query_id, c.vec_id,
     list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
-  from v q join v c on q.vec_id % 100 = 0 and (c.vec_id is null or c.vec_id <> q.vec_id) and len(q.e) = len(c.e))
-select query_id, row_number() over (partition by query_id order by score desc, vec_id nulls last)::int as rank, vec_id, score
+  from v q join v c on q.vec_id % 100 = 0 and c.row <> q.row and len(q.e) = len(c.e))
+select query_id, row_number() over (partition by row order by score desc, vec_id nulls last)::int as rank, vec_id, score
 from s qualify rank <= 10
 """

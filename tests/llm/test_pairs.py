@@ -210,13 +210,12 @@ def test_licences_of_any_length(spark):
 
 def _top(rows, queries, k):
     ints = {i: (d, np.floor(1024 * np.asarray(v, float)).astype(int)) for i, (d, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for q in queries:
-        for d, v in ints.values():
-            if d == q:
-                found = sorted(((-int(v @ w), 10**9 if e is None else e) for e, w in ints.values() if e != q and len(w) == len(v)))[:k]
-                out |= {(q, r + 1, None if e == 10**9 else e, -s) for r, (s, e) in enumerate(found)}
-    return out
+    out = []
+    for i, (q, v) in ints.items():
+        if q in queries:
+            found = sorted((-int(v @ w), 10**9 if e is None else e) for j, (e, w) in ints.items() if j != i and len(w) == len(v))[:k]
+            out += [(q, r + 1, None if e == 10**9 else e, -s) for r, (s, e) in enumerate(found)]
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -226,9 +225,9 @@ def test_top_k_with_ties_and_bad_vectors(spark, monkeypatch, small):
         monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
     rnd = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rnd.normal(0, 1 + i % 3, 20).round(1)]) for i in range(300)]
-    rows += [(301, None), (302, []), (303, [float("nan")] * 20), (304, [None] * 20), (305, [float("inf")] * 20), (306, rows[7][1]), (307, rows[7][1]), (None, rows[7][1]), (400, [1.0, 2.0]), (401, [1.0, 1.0]), (500, [0.0] * 20)]
+    rows += [(301, None), (302, []), (303, [float("nan")] * 20), (304, [None] * 20), (305, [float("inf")] * 20), (306, rows[7][1]), (307, rows[7][1]), (None, rows[7][1]), (400, [1.0, 2.0]), (401, [1.0, 1.0]), (500, [0.0] * 20), (100, rows[9][1]), (100, rows[100][1]), (0, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "7 as label", "1 as slab", "2 as id")
-    got = {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()}
+    got = sorted((tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()), key=str)
     assert got == _top(rows, range(0, 600, 100), 10)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
