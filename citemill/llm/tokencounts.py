@@ -4,7 +4,12 @@ A text is cut into leaves of about `LEAF` characters at places that no pre-token
 space between two characters that aren't white space. A tree over the leaves keeps sums of characters
 and tokens. An edit finds its leaves by the character sums, re-encodes them as changed, with further
 leaves on either side while a boundary isn't such a place any more, and updates the sums above; all
-other leaves keep their counts. The total equals that of encoding the whole changed text.
+other leaves keep their counts. The total equals that of encoding the whole changed text. A text without such
+a place (one unbroken word, say) is one leaf, which an edit encodes as a whole.
+
+Trees are kept: `token_trees` encodes every text once, into a table of leaves and their counts to be written;
+`edited_trees` answers edits from that table alone, encodes touched leaves only, and returns the trees of the
+changed texts, to be written in turn. Trees without edits aren't read beyond their key.
 
 The vocabulary is an existing byte-level file, given by its path; nothing is trained. Null texts count
 as empty, which has no tokens. A null edit list is an empty one; edits are applied in order, each in
@@ -25,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.runtime import table
+from citemill.llm.rows import row_key, small
+from citemill.runtime import materialize, table
 
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that the vocabulary was made with.
@@ -64,11 +70,22 @@ class TokenTree:
     """Leaves of a text and sums over them; node i has the children 2i and 2i + 1."""
 
     def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF):
-        self.count, starts = count, cuts(text, leaf)
-        self.texts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+        starts = cuts(text, leaf)
+        texts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+        self._grow(texts, [count(t) if t else 0 for t in texts], count)
+
+    @classmethod
+    def kept(cls, leaves: list[str], counts: list[int], count: Callable[[str], int]) -> TokenTree:
+        """The tree of saved leaves and counts; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree._grow(leaves or [""], counts or [0], count)
+        return tree
+
+    def _grow(self, texts: list[str], counts: list[int], count: Callable[[str], int]) -> None:
+        self.count, self.texts = count, texts
         self.size = 1 << (len(self.texts) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        self.sums[self.size : self.size + len(self.texts)] = [(len(t), count(t) if t else 0) for t in self.texts]
+        self.sums[self.size : self.size + len(texts)] = list(zip(map(len, texts), counts, strict=True))
         level = self.size
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
@@ -131,12 +148,43 @@ class TokenTree:
     def text(self) -> str:
         return "".join(self.texts)
 
+    def leaves(self) -> tuple[list[str], list[int]]:
+        """Leaves that hold text, with their counts."""
+        counts = self.sums[self.size : self.size + len(self.texts), 1]
+        some = [(t, int(n)) for t, n in zip(self.texts, counts, strict=True) if t]
+        return [t for t, _ in some], [n for _, n in some]
+
+
+_TREE = [("leaves", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("n_chars", pa.int64()), ("n_tokens", pa.int64())]
+_TREE_SQL = "leaves array<string>, counts array<int>, n_chars long, n_tokens long"
+
+
+def _columns(trees: list[TokenTree]) -> list[pa.Array]:
+    saved = [t.leaves() for t in trees]
+    values = [[x for x, _ in saved], [n for _, n in saved], [t.chars for t in trees], [t.tokens for t in trees]]
+    return [pa.array(v, kind) for v, (_, kind) in zip(values, _TREE, strict=True)]
 
-def edited_counts(docs: DataFrame, ranks_file: str = RANKS_FILE, leaf: int = LEAF) -> DataFrame:
-    """Counts of every row of `docs` (doc_id, text, edits) before and after its edits.
 
-    `edits` is an array of (start, deleted, inserted). Returns doc_id, n_tokens, n_leaves, n_edited (tokens
-    after the edits), n_chars and n_encoded (characters that the edits had encoded again).
+def token_trees(docs: DataFrame, ranks_file: str = RANKS_FILE, leaf: int = LEAF) -> DataFrame:
+    """doc_id, row (a hash of id and text), leaves, counts, n_chars and n_tokens of every row of `docs`: a table to be kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = encoder(ranks_file)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                trees = [TokenTree(text.as_py() or "", count, leaf) for text in some.column(2)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *_columns(trees)], names=["doc_id", "row", *[c for c, _ in _TREE]])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    return rows.mapInArrow(run, f"doc_id long, row binary, {_TREE_SQL}")
+
+
+def edited_trees(trees: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
+    """The kept trees of `trees` after their `edits`, an array of (start, deleted, inserted).
+
+    Returns doc_id, row (of the text before), leaves, counts, n_chars and n_tokens as they are now, and before
+    (tokens), n_leaves (before) and n_encoded (characters that the edits had encoded again).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,23 +192,29 @@ def edited_counts(docs: DataFrame, ranks_file: str = RANKS_FILE, leaf: int = LEA
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                out = []
-                for text, edits in zip(some.column(1), some.column(2).to_pylist(), strict=True):
-                    tree = TokenTree(text.as_py() or "", count, leaf)
-                    before = tree.tokens
+                made, old = [], []
+                for leaves, counts, edits in zip(*(some.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                    tree = TokenTree.kept(leaves, counts, count)
+                    old.append((tree.tokens, len(tree.texts)))
                     for e in edits or ():
                         tree.edit(e["start"] or 0, e["deleted"] or 0, e["inserted"] or "")
-                    out.append((before, len(tree.texts), tree.tokens, tree.chars, tree.encoded))
-                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=["doc_id", "n_tokens", "n_leaves", "n_edited", "n_chars", "n_encoded"])
+                    made.append(tree)
+                more = [pa.array([b for b, _ in old], pa.int64()), pa.array([n for _, n in old], pa.int64()), pa.array([t.encoded for t in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), *_columns(made), *more], names=["doc_id", "row", *[c for c, _ in _TREE], "before", "n_leaves", "n_encoded"]
+                )
+
+    given = trees.select("doc_id", "row", "leaves", "counts", "edits")
+    return given.mapInArrow(run, f"doc_id long, row binary, {_TREE_SQL}, before long, n_leaves long, n_encoded long")
+
 
-    kind = "doc_id long, n_tokens long, n_leaves long, n_edited long, n_chars long, n_encoded long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits").mapInArrow(run, kind)
+def apply_edits(trees: DataFrame, edits: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
+    """`edited_trees` for those of the kept `trees` that `edits` (row, edits; one row a tree, in a written table) names."""
+    return edited_trees(trees.join(small(edits), "row"), ranks_file)
 
 
-def sample_edits(text: str = "text") -> Column:
-    """An insertion at a quarter, a deletion at a half and a replacement at three quarters of a text."""
-    n = F.char_length(F.coalesce(text, F.lit("")))
+def sample_edits(n: Column) -> Column:
+    """An insertion at a quarter, a deletion at a half and a replacement at three quarters of a text of n characters."""
     edit = lambda start, deleted, inserted: F.struct(
         start.cast("int").alias("start"), F.lit(deleted).alias("deleted"), F.lit(inserted).alias("inserted")
     )
@@ -168,5 +222,8 @@ def sample_edits(text: str = "text") -> Column:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All `documents`, before and after three edits each."""
-    return edited_counts(table(spark, sf_dir, "documents").withColumn("edits", sample_edits()))
+    """All `documents`, before and after three edits each, from kept trees: doc_id, n_tokens, n_leaves, n_edited (tokens
+    after the edits), n_chars and n_encoded."""
+    trees = materialize(token_trees(table(spark, sf_dir, "documents")), "trees")
+    made = edited_trees(trees.withColumn("edits", sample_edits(F.col("n_chars"))))
+    return made.select("doc_id", F.col("before").alias("n_tokens"), "n_leaves", F.col("n_tokens").alias("n_edited"), "n_chars", "n_encoded")

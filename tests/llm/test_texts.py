@@ -53,13 +53,52 @@ def test_edits_recount_like_whole_texts():
             assert (tree.text(), tree.tokens, tree.chars) == (now, count(now), len(now))
 
 
-def test_edited_counts_of_odd_rows(spark):
-    out = tokencounts.edited_counts(docs(spark, ODD).withColumn("edits", tokencounts.sample_edits())).collect()
-    assert len(out) == len(ODD)
-    assert [r.n_tokens for r in out if r.doc_id in (1, 2)] == [0, 0]
-    long = next(r for r in out if r.doc_id == 5)
-    assert long.n_encoded < 0.02 * len(BIG) and long.n_leaves > 500
-    assert tokencounts.edited_counts(docs(spark, ODD).withColumn("edits", F.lit(None).cast("array<struct<start:int,deleted:int,inserted:string>>"))).where("n_tokens <> n_edited").count() == 0
+def _edited(text, edits):
+    for start, deleted, inserted in edits:
+        text = text[:start] + inserted + text[start + deleted :]
+    return text
+
+
+def _sample_edits(text):
+    n = len(text)
+    return [(n // 4, 0, " (edited) "), (n // 2, 5, ""), (n * 3 // 4, 3, "2nd\n\nnew")]
+
+
+def test_token_counts_are_those_of_whole_texts(spark):
+    from citemill.runtime import table
+
+    count = tokencounts.encoder(tokencounts.RANKS_FILE)
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    got = tokencounts.op1_token_counts(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        now = _edited(texts[r.doc_id], _sample_edits(texts[r.doc_id]))
+        assert (r.n_tokens, r.n_edited, r.n_chars) == (count(texts[r.doc_id]), count(now), len(now))
+    assert sum(r.n_encoded for r in got) < 0.7 * sum(r.n_chars for r in got)
+
+
+def test_kept_trees_of_odd_rows_are_edited_in_turn(spark):
+    from citemill.runtime import materialize
+
+    count = tokencounts.encoder(tokencounts.RANKS_FILE)
+    trees = materialize(tokencounts.token_trees(docs(spark, ODD), leaf=40), "trees")
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {d: count(t or "") for d, t in ODD}
+    once = materialize(tokencounts.edited_trees(trees.withColumn("edits", tokencounts.sample_edits(F.col("n_chars")))), "trees")
+    twice = tokencounts.edited_trees(once.withColumn("edits", tokencounts.sample_edits(F.col("n_chars")))).collect()
+    assert len(twice) == len(ODD)
+    for r in twice:
+        text = dict(ODD)[r.doc_id] or ""
+        now = _edited(text, _sample_edits(text))
+        now = _edited(now, _sample_edits(now))
+        assert ("".join(r.leaves), r.n_tokens) == (now, count(now))
+        assert r.n_encoded <= 3 * len(now) + 30 and (r.doc_id != 5 or r.n_encoded < 0.01 * len(BIG))
+    none = trees.withColumn("edits", F.lit(None).cast("array<struct<start:int,deleted:int,inserted:string>>"))
+    assert tokencounts.edited_trees(none).where("before <> n_tokens or n_encoded > 0").count() == 0
+    key = trees.where("doc_id = 6").first().row
+    some = spark.createDataFrame([(key, [(0, 3, "x y")])], "row binary, edits array<struct<start:int,deleted:int,inserted:string>>")
+    only = tokencounts.apply_edits(trees, some).collect()
+    assert [("".join(r.leaves), r.n_tokens) for r in only] == [("x y ÉTÉ the The", count("x y ÉTÉ the The"))]
+    assert tokencounts.token_trees(docs(spark, ODD).where("false")).count() == 0
 
 
 def _segmentations(word, weights):
