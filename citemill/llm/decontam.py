@@ -2,9 +2,10 @@
 
 Tokens are lower-cased words. A benchmark item of 13 or more tokens is leaked into a document if some
 13 consecutive tokens of it meet 13 of the document with at most 2 substituted; an item of 8 to 12
-tokens if it occurs with at most 1 substituted, one of 5 to 7 tokens if it occurs exactly; shorter
-items can't be told from chance and are not searched. Two fixed masks of five tokens, `11111` and
-`1110011`, are hashed at every position of both sides. For each of these lengths and every choice of
+tokens if it occurs with at most 1 substituted, a shorter one if it occurs exactly. Items of under five
+tokens, which hold no mask, are looked up by their whole sequence; as such a sequence often occurs by chance,
+`decontaminated` removes no document for it alone unless told to. Two fixed masks of five tokens, `11111` and
+`1110011`, are hashed at every position of both sides. For each length from five and every choice of
 substituted places one of the masks fits in between, so every leak has a seed in common (tests try all
 choices). Seeds that meet give an alignment; the aligned tokens are then compared and counted.
 
@@ -50,9 +51,32 @@ def allowed(n: Column) -> Column:
     return F.when(n >= WINDOW, 2).when(n >= 8, 1).otherwise(0)
 
 
+def _short(rows: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """The columns of `leaks` for items of one to `LEAST_TOKENS` - 1 tokens, by their exact sequences."""
+    items = benchmark.select("item_id", tokens().alias("h")).withColumn("n", F.size("h")).where(F.col("n").between(1, LEAST_TOKENS - 1))
+    items = materialize(items.select(F.monotonically_increasing_id().alias("item"), "item_id", "n", F.xxhash64("h").alias("sequence")), "short")
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # LEAST_TOKENS - 1 at most
+    if not lengths:
+        return None
+    whole = rows.select("row", "doc_id", tokens().alias("h"))
+
+    def sequences(n: int) -> Column:
+        at = F.when(F.size("h") >= n, F.sequence(F.lit(1), F.size("h") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", i, n)).alias("sequence"))))
+
+    found = whole.select("row", "doc_id", F.explode(F.concat(*[sequences(n) for n in lengths])).alias("s")).select("row", "doc_id", "s.n", "s.sequence")
+    met = found.join(F.broadcast(items) if items.count() <= SMALL_SEEDS else items, ["n", "sequence"])
+    return met.groupBy("row", "doc_id", "item", "item_id").agg(F.max("n").alias("window")).withColumn("matched", F.col("window")).drop("item")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, doc_id, item_id, window, matched): the best window of every row (its key) and item that leaks."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    long, short = _long(rows, benchmark), _short(rows, benchmark)
+    return long if short is None else long.unionByName(short)
+
+
+def _long(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", tokens().alias("h")).where(F.size("h") >= LEAST_TOKENS)
     items = items.withColumn("item", F.monotonically_increasing_id())
     items = materialize(items, "items")
@@ -78,9 +102,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return met.groupBy("row", "doc_id", "item", "item_id").agg(F.max("window").alias("window"), F.max("matched").alias("matched")).drop("item")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that leak no benchmark item."""
-    return without(docs, materialize(leaks(docs, benchmark).select("row").distinct(), "leaky"))
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least_window: int = LEAST_TOKENS) -> DataFrame:
+    """The rows of `docs` that leak no benchmark item in a window of `least_window` tokens or more."""
+    found = leaks(docs, benchmark).where(F.col("window") >= least_window)
+    return without(docs, materialize(found.select("row").distinct(), "leaky"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +119,7 @@ with d as (
   select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as h from documents),
 b as (
   select item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as h from benchmark),
-bt as (select item_id, len(h) as n, least(len(h), 13) as win, generate_subscripts(h, 1) as j, unnest(h) as w from b where len(h) >= 5),
+bt as (select item_id, len(h) as n, least(len(h), 13) as win, generate_subscripts(h, 1) as j, unnest(h) as w from b where len(h) >= 1),
 dt as (select doc_id, generate_subscripts(h, 1) as i, unnest(h) as w from d),
 same as (select distinct doc_id, item_id, n, win, i - j as shift, j from dt join bt using (w)),
 diag as (

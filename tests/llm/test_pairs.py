@@ -98,6 +98,14 @@ def test_leaks_with_substitutions(spark):
     ]
     got = {(r.doc_id, r.item_id): r.matched for r in decontam.leaks(docs(spark, rows), bench).collect()}
     assert got == {(1, 1): 13, (2, 1): 12, (4, 2): 7, (5, 3): 5, (None, 1): 13, (9, 1): 12}
+    brief = spark.createDataFrame([(1, "b3"), (2, "are not enough"), (3, "too short"), (4, "B4 b5"), (4, "b4 b5"), (5, "")], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id, r.window, r.matched) for r in decontam.leaks(docs(spark, rows), brief).collect())
+    assert got == sorted([(str(d), 1, 1, 1) for d in (1, 2, 3, 9, None)] + [("6", 2, 3, 3)] + [(str(d), 4, 2, 2) for d in (1, 2, 3, 9, None)] * 2)
+    assert decontam.decontaminated(docs(spark, rows), brief).count() == len(rows)
+    assert {r.doc_id for r in decontam.decontaminated(docs(spark, rows), brief, 2).collect()} == {4, 5, 7, 8}
+    long = [(1, "word " * 200_000 + " ".join(item) + " word" * 100), (1, "word " * 200_000 + " ".join(item) + " word" * 100)]
+    assert [(r.doc_id, r.matched) for r in decontam.leaks(docs(spark, long), bench).collect()] == [(1, 13)]
+    assert decontam.leaks(docs(spark, rows).where("false"), bench).count() == 0 == decontam.leaks(docs(spark, rows), bench.where("false")).count()
     left = {r.doc_id for r in decontam.decontaminated(docs(spark, rows), bench).collect()}
     assert {3, 6, 7, 8} <= left and not left & {1, 2, 4, 5, 9, None}
 
