@@ -31,7 +31,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm.rows import row_key, small
+from citemill.llm.rows import row_key, small, spread
 from citemill.runtime import materialize, table
 
 SHINGLE, BANDS, LEAST = 3, 64, 0.8
@@ -226,7 +226,7 @@ def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TE
     windows = materialize(windows.groupBy("row").agg(F.collect_set(F.struct("kind", "window")).alias("windows")), "windows")
 
     # their own shingles, signed
-    texts = rows.join(small(windows.select("row")), "row", "left_semi").dropDuplicates(["row"]).select("row", "doc_id", _hashes(F.col("text")).alias("h"))
+    texts = spread(rows.join(small(windows.select("row")), "row", "left_semi"), "row").dropDuplicates(["row"]).select("row", "doc_id", _hashes(F.col("text")).alias("h"))
     texts = texts.select("row", "doc_id", _shingles("h").alias("all")).join(windows, "row")
     begin = lambda w: w["window"].cast("int") * (w["kind"] / STARTS).cast("int")
     held = F.transform("windows", lambda w: F.struct(w["kind"].alias("kind"), begin(w).alias("at"), F.slice("all", begin(w) + 1, w["kind"]).alias("own")))

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from citemill.runtime import materialize, table
 
+#: The edit bound. Halving without loss and the variants with one character left out are both made for it.
+EDITS = 1
 REST = 48
 #: Keys of 8 bytes that are sent to all executors at most.
 SMALL_IDS = 2_000_000
@@ -106,7 +108,7 @@ def near_lines(first_uses: DataFrame, lines: DataFrame) -> DataFrame:
     met = met.withColumn("m", F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1")))
     pairs = met.where("m is not null and m.when < when").select("h", "when", F.col("m.h").alias("partner"), F.col("m.when").alias("since")).distinct()
     both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("partner"), F.col("s").alias("t")), "partner")
-    both = both.where(F.levenshtein("s", "t", 1) == 1)
+    both = both.where(F.levenshtein("s", "t", EDITS) == EDITS)
     return both.groupBy("h").agg(F.min_by("partner", "since").alias("partner"))
 
 

@@ -37,6 +37,12 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.withColumn(key, row_key()).join(gone, key, "left_anti").select(*docs.columns)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` over the session's number of shuffle partitions: for rows that are small but much work each,
+    which partitions sized by bytes would put into a few long tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
     """`rows` joined with `groups`, a written table of one row for each value of `on`, with its number of rows as `size`.
 

@@ -7,9 +7,13 @@ cutting the sorted order into equal stretches gives shards that all match the mi
 position is found the same way: how many rows of a source fall in each of 4096 place ranges follows
 from its size alone, so no second pass over the rows is needed.
 
+Equal texts aren't held together: under the law `rows` a shard has its exact share of every source, and a group
+of copies with a third of all rows fits into no shard. Where copies must share a shard, dedup them first.
+
 Nulls: a null source is a source of its own; a null text has size 16, checksum null and is still
 placed. Rows that repeat in full are interchangeable. An empty table gives an empty result.
-Extra columns pass through; names starting with `_` are reserved.
+Extra columns pass through; names starting with `_` are reserved, and input columns named `shard` or `slot` are
+replaced.
 """
 
 from __future__ import annotations

@@ -293,28 +293,6 @@ def test_rows_without_an_id_of_their_own_are_drawn_apart(spark, tmp_path):
     assert sum(a is None and b is None for a, b in zip(mixed, mixed[1:], strict=False)) < len(mixed) // 8
 
 
-def test_pipeline_keeps_what_each_stage_should(spark):
-    import corpus_pipeline as cp
-    from citemill.runtime import table
-    from tests.llm.common import near_groups
-
-    given = table(spark, SF, "documents")
-    low = cp.materialize(cp.quality(spark, given, SF), "t")
-    bad = {r.doc_id for r in table(spark, SF, "labels").where("quality = 0").collect()}
-    kept = {r.doc_id: r.text for r in low.collect()}
-    assert len(set(kept) & bad) <= len(bad) // 10 and len(kept) >= given.count() * 0.7
-    near = cp.materialize(cp.near_dedup(spark, low, SF), "t")
-    assert {r.doc_id for r in near.collect()} == {d for d, (_, c) in near_groups(kept.items(), 5, 80).items() if d == c}
-    clean = cp.materialize(cp.decontamination(spark, near, SF), "t")
-    items = [r.text for r in table(spark, SF, "benchmark").collect()]
-    assert not any(i in r.text for r in clean.collect() for i in items)
-    mixed = cp.materialize(cp.mixing(spark, clean, SF), "t")
-    assert mixed.columns == given.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in clean.collect()}
-    last = cp.sharding(spark, mixed, SF)
-    sizes = [r["count"] for r in last.groupBy("shard").count().collect()]
-    assert last.count() == mixed.count() and max(sizes) - min(sizes) <= 1
-
-
 def test_copies_of_a_document_are_spread_over_shards(spark):
     import corpus_pipeline as cp
 
