@@ -36,11 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
 
-    Only where the setting is absent (local tests) a folder of this machine stands in.
+    Only where the setting is absent and the whole session is local (tests) a folder of this machine stands in.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="citemill-"))
     return _OWN_DIR[0]

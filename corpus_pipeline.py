@@ -4,6 +4,13 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 `documents`. Low-quality documents go, one document of each group of near duplicates stays, documents
 that hold a benchmark item go, sources are replicated or thinned to their target weights, and what is
 left is dealt out to shards that all match the mixture.
+
+Rows with a null or repeated doc_id, a null or empty text or a null source are rows like others: the
+classifier scores them by their own text, rows without words are in no group and leak nothing, rows that
+repeat in full are one group and otherwise one row each, and null sources are a source that no target
+names. Texts are read whole, however long. An empty table stays empty. Further columns pass through all
+stages as they are, whatever their names, except that the last stage replaces `shard` and `slot`, and keeps
+names that start with `_` for itself.
 """
 
 from __future__ import annotations
@@ -50,7 +57,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: No SQL: the classifier and the near-duplicate groups can't be expressed in it; tests compare with plain Python.
+#: No SQL: the classifier and the near-duplicate groups can't be expressed in it; `tests/llm/test_pipeline.py`
+#: compares every stage with plain Python.
 ORACLE_SQL = None
 
 
