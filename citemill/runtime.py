@@ -57,15 +57,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete everything `materialize` wrote; only call it once results that depend on it are written."""
-    while _WRITTEN:
+def written() -> int:
+    """How many tables `materialize` has written so far and not deleted."""
+    return len(_WRITTEN)
+
+
+def release(since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables that `materialize` wrote after the first `since` ones, but for the last one if wanted.
+
+    Only call it once all results that depend on them are written.
+    """
+    kept = [_WRITTEN.pop()] if but_last and len(_WRITTEN) > since else []
+    while len(_WRITTEN) > since:
         spark, path = _WRITTEN.pop()
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may have ended already  # noqa: BLE001
             continue
+    _WRITTEN.extend(kept)
 
 
 atexit.register(release)

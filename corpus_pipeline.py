@@ -23,7 +23,7 @@ from citemill.llm.mixing import OTHER, TARGETS, mixture
 from citemill.llm.neardup import without_near_duplicates
 from citemill.llm.quality import without_rejected
 from citemill.llm.sharding import SHARDS, stratified_shards
-from citemill.runtime import materialize, table
+from citemill.runtime import materialize, release, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`: its columns, shard and slot."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = written()
         docs = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+        release(before, but_last=True)  # what the stage wrote on its way
     return docs
