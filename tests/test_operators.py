@@ -111,12 +111,6 @@ def test_merge_budget_and_components(spark):
     assert {r.id: r.component for r in resolve.entities(made).collect()} == {1: 1, 2: 1, 3: 1}
 
 
-def test_error_categories(spark):
-    rows = [(429, "", "RESOURCE_EXHAUSTED perDay", "quota_exhausted"), (429, "", "slow down", "rate_limited"), (None, "TimeoutError", "", "timeout"), (403, "", "", "auth_failed"), (None, "", "500 oops", "server_error"), (None, "", "", "unknown")]
-    df = spark.createDataFrame(rows, "s int, n string, t string, want string")
-    assert df.where(boundary.error_category(F.col("s"), F.col("n"), F.col("t")) != F.col("want")).count() == 0
-
-
 PAYLOADS = {
     "semantic_scholar": json.dumps({"data": [{"paperId": "s1", "title": " A title ", "year": 2020, "externalIds": {"DOI": "10.1/X"}, "authors": [{"name": "Ann"}], "references": [{"paperId": "s2"}]}, {"title": ""}]}),
     "openalex": json.dumps({"results": [{"id": "https://openalex.org/W1", "display_name": "Works", "abstract_inverted_index": {"b": [1], "a": [0]}, "concepts": [{"display_name": str(i)} for i in range(7)]}]}),
