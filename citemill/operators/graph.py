@@ -58,16 +58,14 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per concept: papers that use it, concepts it descends from, concepts that descend from it, distinct neighbours."""
     kinds = nodes.select("id", F.col("type").alias("kind"))
-    typed = edges.join(kinds.toDF("src", "src_kind"), "src").join(kinds.toDF("dst", "dst_kind"), "dst")
+    # parallel edges first become one row, so that nothing needs a distinct count
+    pairs = edges.groupBy("src", "dst").agg(F.max((F.col("type") == "USES").cast("int")).alias("use"), F.max(F.col("type").isin(*LINEAGE).cast("int")).alias("line"))
+    typed = pairs.join(kinds.toDF("src", "src_kind"), "src").join(kinds.toDF("dst", "dst_kind"), "dst")
+    from_concept, to_concept = ((F.col(k) == "Concept").cast("int") for k in ("src_kind", "dst_kind"))
     inward = typed.where("dst_kind = 'Concept'").groupBy(F.col("dst").alias("id")).agg(
-        F.countDistinct(F.when(F.col("type") == "USES", F.col("src"))).alias("used_by"),
-        F.countDistinct(F.when(F.col("type").isin(*LINEAGE) & (F.col("src_kind") == "Concept"), F.col("src"))).alias("lineage_in"),
-        F.countDistinct("src").alias("before"),
-    )
-    outward = typed.where("src_kind = 'Concept'").groupBy(F.col("src").alias("id")).agg(
-        F.countDistinct(F.when(F.col("type").isin(*LINEAGE) & (F.col("dst_kind") == "Concept"), F.col("dst"))).alias("lineage_out"),
-        F.countDistinct("dst").alias("after"),
+        F.sum("use").alias("used_by"), F.sum(F.col("line") * from_concept).alias("lineage_in"), F.count(F.lit(1)).alias("before")
     )
+    outward = typed.where("src_kind = 'Concept'").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("line") * to_concept).alias("lineage_out"), F.count(F.lit(1)).alias("after"))
     zero = lambda k: F.coalesce(k, F.lit(0)).alias(k)
     return nodes.where("type = 'Concept'").select("id").join(inward, "id", "left").join(outward, "id", "left").select(
         "id", zero("used_by"), zero("lineage_in"), zero("lineage_out"), (F.coalesce("before", F.lit(0)) + F.coalesce("after", F.lit(0))).alias("degree")
@@ -81,6 +79,54 @@ def induced(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFr
     return kept, edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi")
 
 
+def edge_types(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(type, n): edges by type, of all of them or of those that start in `sources` (id)."""
+    some = edges if sources is None else edges.join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    return some.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def limitation_targets(edges: DataFrame) -> DataFrame:
+    """(paper, concept): what papers state a limitation of."""
+    return edges.where("type = 'HAS_LIMITATION'").select(F.col("src").alias("paper"), F.col("dst").alias("concept")).distinct()
+
+
+def named_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, type): edges but for citations, concepts by name; between a paper and a concept, the paper first."""
+    n = nodes.select("id", "label", F.col("type").alias("kind"))
+    met = edges.where("type <> 'CITES'").join(n.toDF("src", "sl", "sk"), "src").join(n.toDF("dst", "dl", "dk"), "dst")
+    swapped = (F.col("sk") == "Concept") & (F.col("dk") == "Paper")
+    source = F.when(swapped, F.col("dst")).when(F.col("sk") == "Paper", F.col("src")).otherwise(F.col("sl"))
+    return met.where("sk = 'Concept' or dk = 'Concept'").select(source.alias("source"), F.when(swapped, F.col("sl")).otherwise(F.col("dl")).alias("target"), "type")
+
+
+def coverage(papers: DataFrame, extractions: DataFrame, relations: DataFrame) -> dict[str, DataFrame]:
+    """Papers without an extraction, extractions without a concept (both paper_id), and relations by type."""
+    return {
+        "papers_without_extraction": papers.select(F.col("id").alias("paper_id")).join(extractions.select("paper_id").distinct(), "paper_id", "left_anti"),
+        "extractions_without_concepts": extractions.where(F.coalesce(F.size("concepts"), F.lit(0)) <= 0).select("paper_id"),
+        "relations": edge_types(relations),
+    }
+
+
+def broken_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule, n): how often a built graph breaks its rules; none does if it came from `make_edges`."""
+    _, refused, dropped = make_edges(edges, nodes)
+    parallel = edges.groupBy("src", "dst", "type").count().where("count > 1")
+    out = refused.agg(F.lit("unknown end").alias("rule"), F.count(F.lit(1)).alias("n"))
+    for rule, rows in (("lineage against the years", dropped), ("repeated edge", parallel)):
+        out = out.unionByName(rows.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n")))
+    return out
+
+
+def payloads(nodes: DataFrame) -> DataFrame:
+    """id, type, name, year, detail: what an answer shows of a node; 280 characters of an abstract, aliases behind a description."""
+    also = F.when(F.size("aliases") > 0, F.concat(F.lit(" (also: "), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")
+    about = F.trim(F.concat(fx.text_or_empty(F.col("description")), also))
+    abstract = F.left(fx.text_or_empty(F.col("abstract")), F.lit(280)) if "abstract" in nodes.columns else F.lit("")
+    name = F.coalesce(F.nullif("label", F.lit("")), F.col("id"))
+    return nodes.select("id", "type", name.alias("name"), known(F.col("year")).alias("year"), F.when(F.col("type") == "Paper", abstract).otherwise(about).alias("detail"))
+
+
 def labelled(nodes: DataFrame) -> DataFrame:
     """Stable labels: P1.. for papers, newest first, then title and id; C1.. for concepts by id. For answer-sized slices."""
     by = Window.partitionBy("type").orderBy(

@@ -70,7 +70,7 @@ def a17_w8_bm25_top5(spark, sf_dir):
 
 
 @register(
-    f"with {BM25_SQL} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from scored where score > 0 and id in (select doc_id from labels) qualify rank <= 5"
+    f"with {BM25_SQL.replace('from documents)', 'from documents where doc_id in (select doc_id from labels))')} select query_id, id, score, row_number() over (partition by query_id order by score desc, id)::int as rank from scored where score > 0 qualify rank <= 5"
 )
 def w8_bm25_allow_list(spark, sf_dir):
     return rank.bm25_top(_docs(spark, sf_dir), questions(spark), 5, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
@@ -143,12 +143,12 @@ NAME_SQL = "trim(regexp_replace(regexp_replace(replace(replace(lower({0}), 'ß',
 def f11_f12_f14_concept_names(spark, sf_dir):
     name = F.concat_ws(" ", "p_name", "p_brand")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", fx.slug(name).alias("slug"), fx.normalise_name(name).alias("folded"), F.concat("p_name", F.lit(": "), F.left("p_type", F.lit(200))).alias("centroid")
+        "p_partkey", fx.slug(name).alias("slug"), fx.normalise_name(name).alias("folded"), resolve.centroid_text(F.col("p_name"), F.col("p_type")).alias("centroid")
     )
 
 
 @register(
-    f"""with f as (select doc_id, list_filter(string_split(trim(regexp_replace(translate(lower(text), '{metrics.MARKED}', '{metrics.PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') as w from documents)
+    f"""with f as (select doc_id, list_filter(string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') as w from documents)
   select doc_id, array_to_string(case when len(w) > 0 and w[-1] like '%s' and w[-1] not like '%ss' and not list_contains({words_sql(fx.PLURAL_EXCEPTIONS)}, w[-1]) then list_append(w[1:len(w)-1], left(w[-1], length(w[-1]) - 1)) else w end, ' ') as key from f"""
 )
 def f13_comparison_key(spark, sf_dir):
@@ -397,16 +397,21 @@ def p1_w7_trim(spark, sf_dir):
     "select case when quality is null then 'unscored' else quality::varchar end as score, count(*) as n from documents d left join (select doc_id, max(quality) as quality from labels group by 1) l using (doc_id) group by 1"
 )
 def a8_relevance_histogram(spark, sf_dir):
-    lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    d = table(spark, sf_dir, "documents").join(lab, "doc_id", "left")
-    return d.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unscored")).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    from citemill.operators.boundary import relevance_histogram
 
+    lab = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("score"))
+    return relevance_histogram(table(spark, sf_dir, "documents").join(lab, "doc_id", "left"))
 
-@register("select id, (row_number() over (order by id) - 1) // 10 as chunk, 3 as score from (select doc_id as id from documents)")
+
+@register("select doc_id as id, (row_number() over (order by doc_id) - 1) // 10 as chunk, coalesce(case when s.quality = 1 then 5 else 1 end, 3)::int as score from documents left join (select doc_id as d, quality from labels) s on d = doc_id".replace("coalesce(case when s.quality = 1 then 5 else 1 end, 3)", "case when s.d is null then 3 when s.quality = 1 then 5 else 1 end"))
 def a9_score_batches(spark, sf_dir):
+    """Scores given twice, of which the later wins; rows without one get the default."""
     from citemill.operators.boundary import scored_in_batches
 
-    return scored_in_batches(_docs(spark, sf_dir))
+    lab = table(spark, sf_dir, "labels")
+    first = lab.select(F.col("doc_id").alias("id"), F.lit(1).alias("seq"), F.lit(2).alias("score"))
+    later = lab.select(F.col("doc_id").alias("id"), F.lit(2).alias("seq"), F.when(F.col("quality") == 1, 5).otherwise(1).alias("score"))
+    return scored_in_batches(_docs(spark, sf_dir), given=first.unionByName(later))
 
 
 @register("select doc_id from documents where doc_id not in (select doc_id from labels)")
@@ -414,9 +419,9 @@ def j11_u1_held_out(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@register(f"with {td.PAPERS_SQL} select count(*) as papers, count(*) filter (where abstract <> '') as abstracts, count(*) filter (where year is not null) as years from papers")
+@register(f"with {td.RECORDS_SQL} select count(*) as papers, count(*) filter (where abstract <> '') as abstracts, count(*) filter (where year is not null) as years, count(*) filter (where doi <> '') as dois from records")
 def a12_corpus_stats(spark, sf_dir):
-    return td.papers(spark, sf_dir).agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.col("abstract") != "").alias("abstracts"), F.count_if(F.col("year").isNotNull()).alias("years"))
+    return metrics.corpus_stats(td.records(spark, sf_dir))
 
 
 # -- graph -----------------------------------------------------------------------------------------------------------
@@ -469,7 +474,7 @@ def p5_a16_structural_gaps(spark, sf_dir):
     return graph.structural_gaps(nodes, edges)
 
 
-PART_QUESTIONS = ((1, "How did small brushed copper evolve"), (2, "compare promo plated tin and economy nickel"), (3, "Brand#12 steel gaps"))
+PART_QUESTIONS = ((1, "How did small widget evolve"), (2, "compare red plate and hot ring"), (3, "gaps of blue gear"))
 QTOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 1 and not list_contains(" + words_sql(fx.QUESTION_STOP) + ", t)))"
 FIND_SQL = (
     "q(question_id, question) as (values "
@@ -559,11 +564,58 @@ def w1_g11_labels(spark, sf_dir):
     return graph.labelled(graph.induced(nodes, edges, keep)[0]).select("id", "mark")
 
 
-@register(f"with {td.GRAPH_SQL}, {NEWEST_SQL} select src, dst, type from edges where src in (select id from newest) and dst in (select id from newest)")
+@register(f"with {td.GRAPH_SQL}, {NEWEST_SQL}, k as (select id from newest union select e.dst from edges e join newest n on e.src = n.id) select src, dst, type from edges where src in (select id from k) and dst in (select id from k)")
 def k5_induced_subgraph(spark, sf_dir):
     nodes, edges, *_ = _graph(spark, sf_dir)
     newest = nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select("id")
-    return graph.induced(nodes, edges, newest)[1].select("src", "dst", "type")
+    keep = newest.unionByName(edges.join(newest.toDF("src"), "src", "left_semi").select(F.col("dst").alias("id")))
+    return graph.induced(nodes, edges, keep)[1].select("src", "dst", "type")
+
+
+MARKS_SQL = f"""k as (select id from newest union select e.dst from edges e join newest n on e.src = n.id),
+  sn as (select n.*, case when type = 'Paper' then 'P' else 'C' end || row_number() over (partition by type order by case when type = 'Paper' then -year end, case when type = 'Paper' then label end, n.id) as mark from nodes n join k using (id)),
+  se as (select src, dst, type from edges where src in (select id from k) and dst in (select id from k))"""
+
+
+def _newest_slice(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    newest = nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select("id")
+    keep = newest.unionByName(edges.join(newest.toDF("src"), "src", "left_semi").select(F.col("dst").alias("id")))
+    some, between = graph.induced(nodes, edges, keep)
+    return graph.payloads(some).join(graph.labelled(some).select("id", "mark"), "id"), between
+
+
+@register(f"with {td.GRAPH_SQL}, {NEWEST_SQL}, {MARKS_SQL} select id, type, label as name, year, mark, case when type = 'Paper' then '' else trim(description || ' (also: ' || array_to_string(aliases, ', ') || ')') end as detail from sn")
+def g11_payloads(spark, sf_dir):
+    return _newest_slice(spark, sf_dir)[0]
+
+
+@register(
+    f"""with recursive {td.GRAPH_SQL}, {NEWEST_SQL}, {MARKS_SQL}, step as (select distinct e.src, e.dst from se e join sn a on a.id = e.src and a.type = 'Concept' where e.src <> e.dst),
+  keys as (select id, mark || chr(31) || lpad((9999 - coalesce(year, 0))::varchar, 5, '0') || chr(31) || id as key from sn),
+  walk(id, parent, depth, path, seen) as (select id, null::varchar, 0, [key], [id] from keys where id not in (select dst from step)
+    union all select s.dst, w.id, depth + 1, list_append(path, k.key), list_append(seen, s.dst) from walk w join step s on s.src = w.id join keys k on k.id = s.dst where not list_contains(seen, s.dst))
+  select id, parent, depth, path from walk"""
+)
+def g12_forest(spark, sf_dir):
+    return traverse.forest(*_newest_slice(spark, sf_dir))
+
+
+@register(
+    f"""with {td.GRAPH_SQL}, {FIND_SQL}, {DEGREES_SQL}, {POOL_SQL}, s as (select d.id, year, (case when d.id in (select dst from edges where type = 'HAS_LIMITATION') then 10 else 0 end) + (case when lineage_in = 0 and year > 0 then 3 else 0 end) as score from deg d join pool using (id)),
+  top as (select id from s where score > 0 order by score desc, year desc, id limit 8) select 'gap' as kind, id from (select id from top union {PAPERS_ON.format('top')})"""
+)
+def g8_traverse(spark, sf_dir):
+    """A question's slice through the table of strategies."""
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    kind, some, _ = traverse.traverse(nodes, edges, PART_QUESTIONS[2][1])
+    return some.select(F.lit(kind).alias("kind"), "id")
+
+
+@register(f"with {td.GRAPH_SQL} select 'unknown end' as rule, count(*) as n from edges where src not in (select id from nodes) union all select 'lineage against the years', 0 union all select 'repeated edge', 0")
+def k6_rules_hold(spark, sf_dir):
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    return graph.broken_rules(nodes, edges)
 
 
 # -- names, relations ------------------------------------------------------------------------------------------------
@@ -614,6 +666,24 @@ def g2_merge_decisions(spark, sf_dir):
     return resolve.decisions(resolve.similar_pairs(_vectors(spark, sf_dir), 0.35), 0.45).withColumn("score", F.round("score", 6))
 
 
+@register(
+    f"""with recursive {PAIRS_SQL}, near as (select i, j from pairs where score >= 0.45), both_ways as (select i, j from near union select j, i from near),
+  walk(i, j) as (select i, j from both_ways union select w.i, b.j from walk w join both_ways b on w.j = b.i), comp as (select i as id, least(min(j), i) as component from walk group by i),
+  m as (select p_partkey as seq, p_name as name, p_partkey::varchar as paper_id, p_type as description, p_size as year, {NAME_SQL.format('p_name')} as key from part),
+  g as (select key, min(seq) as first from m group by 1), gc as (select key, coalesce(component, first) as component from g left join comp on id = first), r as (select * from m join gc using (key)),
+  v as (select component, name, count(*) as n from r group by 1, 2), b as (select component, arg_max(name, (n, length(name), name)) as name from v group by 1)
+  select component, any_value(b.name) as name, list_sort(list_distinct(list(r.name))) as aliases, count(distinct paper_id) as n_papers, left(arg_max(description, (length(description), -seq)), 200) as description, min(nullif(year, 0)) as first_seen_year,
+    row_number() over (order by count(distinct paper_id) desc, any_value(b.name), component) as place from r join b using (component) group by component"""
+)
+def g2_w10_concepts(spark, sf_dir):
+    """Part names as mentions, merged as the vectors of their numbers are."""
+    p = table(spark, sf_dir, "part")
+    m = p.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("paper_id"), F.col("p_type").alias("description"), F.col("p_size").alias("year"), F.col("p_partkey").alias("seq"))
+    made = resolve.decisions(resolve.similar_pairs(_vectors(spark, sf_dir), 0.35), 0.45)
+    out = resolve.resolved_concepts(m, made)
+    return out.select("component", "name", F.array_sort("aliases").alias("aliases"), F.size("paper_ids").cast("long").alias("n_papers"), "description", "first_seen_year", "place")
+
+
 INDEX_SQL = f"idx as (select key, arg_min(id, (seq, pos)) as id from (select id, seq, 0 as pos, {NAME_SQL.format('name')} as key from concepts union all select id, seq, 1, {NAME_SQL.format('aliases[1]')} from concepts) where key <> '' group by 1)"
 
 
@@ -812,14 +882,11 @@ def a21_strict_mean(spark, sf_dir):
 
 @register()
 def p4_v3_a22_gap_verdicts(spark, sf_dir):
-    """Verdicts on part names as gaps, against the unlabelled documents as held-out papers (BM25 of 3.0 or more, later by a year)."""
+    """Verdicts on benchmark texts as gaps, against the unlabelled documents as held-out papers."""
     held = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
     papers = held.select(F.col("doc_id").alias("id"), "text", (1995 + F.col("doc_id") % 30).alias("year"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), (1990 + F.col("item_id") % 30).alias("seen"))
-    scores = rank.bm25_scores(papers, b).where("score >= 3.0").join(papers.select("id", "year"), "id").join(b.select("query_id", "seen"), "query_id")
-    hits = scores.where("year - seen >= 1").select(F.col("query_id").alias("id"))
-    n = held.limit(5).count()
-    return metrics.verdict_summary(metrics.gap_verdicts(hits, b.select(F.col("query_id").alias("id")), n))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", (1990 + F.col("item_id") % 30).alias("year"))
+    return metrics.verdict_summary(metrics.checked_gaps(b, papers))
 
 
 _H = "held as (select doc_id as id, text, 1995 + doc_id % 30 as year from documents where doc_id not in (select doc_id from labels))"
@@ -897,20 +964,57 @@ def t3_t6_t8_event_fold(spark, sf_dir):
 
 @register("select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 500")
 def w11_log_tail(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return e.withColumn("r", r).where("r <= 500").select("user_id", "event_id")
+    return metrics.log_tail(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
 
 
-@register(
-    """select event_id, case when status is null then 'unknown' when status in (401, 403) then 'auth_failed' when status = 429 then 'rate_limited' when status >= 500 then 'server_error' when status >= 400 then 'invalid_request' else 'unknown' end as category
-  from (select event_id, case event_id % 6 when 0 then 401 when 1 then 429 when 2 then 503 when 3 then 400 when 4 then 403 end as status from events)"""
-)
+#: Failures as (status, type name, message) by number, and what they are.
+FAILURES = (
+    (401, "", "", "auth_failed"), (429, "", "slow down", "rate_limited"), (429, "", "RESOURCE_EXHAUSTED quotaId PerDay", "quota_exhausted"), (503, "", "", "server_error"), (None, "NotFoundError", "", "invalid_request"),
+    (None, "", "error 502 from upstream", "server_error"), (None, "APIConnectionError", "", "network_error"), (400, "ConnectionResetError", "", "network_error"), (None, "BadRequestError", "", "invalid_request"), (418, "", "", "invalid_request"),
+    (700, "", "", "unknown"), (None, "ReadTimeout", "", "timeout"), (None, "UnsupportedParams", "", "unsupported"), (None, "", "Invalid API key", "auth_failed"), (None, "BrokenPipeError", "", "network_error"), (None, "BudgetExhausted", "", "budget_exhausted"),
+)
+
+
+@register(f"select event_id, list_extract([{', '.join(repr(f[3]) for f in FAILURES)}], (event_id % {len(FAILURES)} + 1)::int) as category from events")
 def p7_l3_error_category(spark, sf_dir):
     from citemill.operators.boundary import error_category
 
-    status = F.expr("case event_id % 6 when 0 then 401 when 1 then 429 when 2 then 503 when 3 then 400 when 4 then 403 end")
-    return table(spark, sf_dir, "events").select("event_id", error_category(status, F.lit(""), F.lit("")).alias("category"))
+    known = spark.createDataFrame([(i, *f[:3]) for i, f in enumerate(FAILURES)], "kind long, status int, name string, message string")
+    e = table(spark, sf_dir, "events").withColumn("kind", F.col("event_id") % len(FAILURES)).join(F.broadcast(known), "kind")  # 16 rows
+    return e.select("event_id", error_category(F.col("status"), F.col("name"), F.col("message")).alias("category"))
+
+
+@register("""select event_id, (props::json->>'k')::bigint as input, (event_id % 7)::bigint as output, ((props::json->>'k')::bigint + event_id % 7)::bigint as total from events""")
+def f38_usage_blocks(spark, sf_dir):
+    from citemill.operators.boundary import usage
+
+    block = F.expr("case event_id % 3 when 0 then concat('{\"prompt_tokens\":', get_json_object(props, '$.k'), ',\"completion_tokens\":', event_id % 7, '}') when 1 then concat('{\"prompt_token_count\":\"', get_json_object(props, '$.k'), '\",\"candidates_token_count\":', event_id % 7, '}') else concat('{\"input_tokens\":', get_json_object(props, '$.k'), ',\"output_tokens\":', event_id % 7, '}') end")
+    return table(spark, sf_dir, "events").select("event_id", usage(block).alias("u")).select("event_id", "u.input", "u.output", "u.total")
+
+
+@register(
+    """with n as (select *, row_number() over (order by 'doc:' || doc_id) - 1 as r, 'doc:' || doc_id as id from documents), l as (select r // 10 as chunk, r, '- id: ' || id || chr(10) || '  title: ' || array_to_string(string_split(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), ' ')[1:12], ' ') || chr(10) || '  year: ' || (1995 + doc_id % 30) || chr(10) || '  abstract: ' || replace(left(text, 400), chr(10), ' ') as line from n)
+  select chunk, 'Rate how relevant each paper is to: Topic' || chr(10) || chr(10) || string_agg(line, chr(10) order by r) as prompt from l group by 1"""
+)
+def f32_batch_prompts(spark, sf_dir):
+    from citemill.operators.boundary import batch_prompts
+
+    return batch_prompts(td.papers(spark, sf_dir), "Topic")
+
+
+@register("""select event_id, case when event_type = 'view' then '' else trim(event_type) end as summary, case when event_type = 'error' then ' why' else '' end as problem_with_limit, event_type = 'error' as limited from events""".replace("case when event_type = 'error' then ' why' else '' end", "case when event_type = 'error' then 'why' else '' end"))
+def f40_extraction_projection(spark, sf_dir):
+    from citemill.operators.boundary import extraction
+
+    e = table(spark, sf_dir, "events")
+    none = F.array().cast("array<struct<name:string,description:string,role:string>>")
+    facts = e.select(
+        F.col("event_id").cast("string").alias("paper_id"), F.lit("h").alias("paper_hash"), F.when(F.col("event_type") == "view", F.lit(None)).otherwise(F.concat(F.lit(" "), "event_type", F.lit(" "))).alias("summary"),
+        none.alias("concepts"), F.array().cast("array<string>").alias("builds_on"), F.lit(None).cast("string").alias("relation"), F.lit("").alias("relation_target"),
+        F.when(F.col("event_type") == "error", " our method is slow ").otherwise("  ").alias("stated_limitation"), F.lit(" why ").alias("inferred_open_problem"),
+    )
+    made = extraction(facts)
+    return made.select(F.col("paper_id").cast("long").alias("event_id"), "summary", F.col("inferred_open_problem").alias("problem_with_limit"), (F.col("stated_limitation") != "").alias("limited"))
 
 
 # -- coverage, exports and reports -----------------------------------------------------------------------------------
@@ -924,16 +1028,11 @@ def j12_papers_without_extraction(spark, sf_dir):
     return missing(papers, _extractions(spark, sf_dir), ["paper_id"])
 
 
-@register(f"with {EXTRACTIONS_SQL} select paper_id, name, role, row_number() over (partition by paper_id order by ln, name, role)::int as place from men")
+@register(f"with {EXTRACTIONS_SQL}, om as (select *, year(o_orderdate)::int as year from men join orders on l_orderkey = o_orderkey) select paper_id, name, role, '' as description, year, row_number() over (partition by paper_id order by ln[1], name, role)::int as place from om")
 def a7_mentions(spark, sf_dir):
-    m = _extractions(spark, sf_dir).select("paper_id", F.explode("concepts").alias("m")).select("paper_id", "m.name", "m.role", "m.l_linenumber")
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    named = li.select(
-        F.concat(F.lit("order:"), "l_orderkey").alias("paper_id"), F.when(F.col("l_linenumber") == 3, "nowhere").otherwise(F.col("p_name")).alias("name"),
-        F.expr("case when l_linenumber = 1 then 'introduces' when l_returnflag = 'R' then 'Limitation ' else 'uses' end").alias("role"), "l_linenumber", "p_partkey",
-    )
-    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("l_linenumber", "p_partkey", "name", "role"))
-    return named.join(m.select("paper_id").distinct(), "paper_id", "left_semi").withColumn("place", place).select("paper_id", "name", "role", "place")
+    from citemill.operators.boundary import mentions
+
+    return mentions(_extractions(spark, sf_dir), td.graph_papers(spark, sf_dir))
 
 
 @register(
@@ -941,36 +1040,39 @@ def a7_mentions(spark, sf_dir):
 )
 def j18_edge_export(spark, sf_dir):
     nodes, edges, *_ = _graph(spark, sf_dir)
-    n = nodes.select("id", "label", F.col("type").alias("kind"))
-    named = edges.where("type <> 'CITES'").join(n.toDF("src", "sl", "sk"), "src").join(n.toDF("dst", "dl", "dk"), "dst")
-    return named.select(F.when(F.col("sk") == "Paper", F.col("src")).otherwise(F.col("sl")).alias("source"), F.col("dl").alias("target"), "type")
+    return graph.named_edges(nodes, edges)
 
 
 @register(f"with {td.GRAPH_SQL}, {NEWEST_SQL} select type, count(*) as n from edges where src in (select id from newest) group by 1")
 def a29_slice_edge_types(spark, sf_dir):
     nodes, edges, *_ = _graph(spark, sf_dir)
-    newest = nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select(F.col("id").alias("src"))
-    return edges.join(newest, "src", "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return graph.edge_types(edges, nodes.where("type = 'Paper'").orderBy(F.desc("year"), "label", "id").limit(40).select("id"))
 
 
 @register(f"with {td.GRAPH_SQL} select distinct e.src as paper, e.dst as concept from edges e where e.type = 'HAS_LIMITATION'")
 def j16_limitation_targets(spark, sf_dir):
-    return _graph(spark, sf_dir)[1].where("type = 'HAS_LIMITATION'").select(F.col("src").alias("paper"), F.col("dst").alias("concept"))
+    return graph.limitation_targets(_graph(spark, sf_dir)[1])
 
 
-@register("select quality, count(*) as n, round(avg(case when toxic = 0 then 1 else 0 end), 6) as by_hand, bool_and(toxic = 0) as all_by_hand from labels group by 1")
-def a27_p6_reference_share(spark, sf_dir):
-    hand = (F.col("toxic") == 0).cast("int")
-    return table(spark, sf_dir, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hand), 6).alias("by_hand"), F.bool_and(F.col("toxic") == 0).alias("all_by_hand"))
+@register(
+    """with c as (select count(*) as n, count(*) filter (where toxic = 0) as h, count(distinct doc_id) as p from labels), e as (select count(*) as n, count(*) filter (where quality = 1) as h from labels)
+  select c.n as n_nodes, e.n as n_edges, p as n_papers, round((c.h + e.h) / (c.n + e.n), 6) as hand_labelled, c.h + e.h < c.n + e.n as blocked,
+    case when c.h + e.h < c.n + e.n then [(c.n - c.h) || ' node(s) and ' || (e.n - e.h) || ' edge(s) are not labelled by hand'] else [] end as blockers, cast([] as varchar[]) as warnings from c, e"""
+)
+def a27_p6_reference_gate(spark, sf_dir):
+    from citemill.sources.store import HAND, reference_gate
+
+    lab = table(spark, sf_dir, "labels")
+    nodes = lab.select(F.when(F.col("toxic") == 0, HAND).otherwise("derived").alias("provenance"), F.array(F.col("doc_id").cast("string")).alias("paper_ids"))
+    return reference_gate(nodes, lab.select(F.when(F.col("quality") == 1, HAND).otherwise("derived").alias("provenance")))
 
 
 @register(
     "select count(*) as total, count(*) filter (where doc_id in (select doc_id from labels)) as extracted, round(count(*) filter (where doc_id in (select doc_id from labels)) / count(*), 6) as parse_rate from documents"
 )
 def a31_extraction_report(spark, sf_dir):
-    done = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("done", F.lit(True))
-    d = table(spark, sf_dir, "documents").select("doc_id").join(done, "doc_id", "left")
-    return d.agg(F.count(F.lit(1)).alias("total"), F.count("done").alias("extracted"), F.round(F.count("done") / F.count(F.lit(1)), 6).alias("parse_rate"))
+    ids = lambda t: table(spark, sf_dir, t).select(F.col("doc_id").alias("paper_id"))
+    return metrics.extraction_report(ids("documents"), ids("labels"))
 
 
 @register(
@@ -986,24 +1088,65 @@ def v5_concept_years(spark, sf_dir):
     return td.concepts(spark, sf_dir).groupBy("name").agg(F.min(graph.known(F.col("year"))).alias("year"))
 
 
+LABELS_SQL = "lab as (select 'doc:' || doc_id as pid, 'P' || row_number() over (order by 'doc:' || doc_id) as label from (select distinct doc_id from labels))"
+RAG_SQL = BM25_SQL.replace("select doc_id as id, " + TOKENS_SQL.format("text"), "select ingest_seq as id, " + TOKENS_SQL.format("title || ' ' || title || ' ' || abstract")).replace("from documents)", "from papers where ingest_seq in (select doc_id from labels))")
+
+
 @register(
-    f"with {BM25_SQL}, top as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as r from scored where score > 0 qualify r <= 5) select query_id, string_agg('[P' || r || '] ' || left(text, 80), chr(10) order by r) as evidence from top join documents on id = doc_id group by 1"
+    f"""with {RAG_SQL.replace(QUESTIONS_SQL, td.PAPERS_SQL + ', ' + QUESTIONS_SQL)}, {LABELS_SQL}, top as (select query_id, 'doc:' || id as pid, row_number() over (partition by query_id order by score desc, 'doc:' || id) as r from scored where score > 0 qualify r <= 5)
+  select query_id, string_agg('[' || label || '] ' || title || chr(10) || abstract, chr(10) || chr(10) order by r) as evidence from top join lab using (pid) join papers on papers.id = top.pid group by 1"""
 )
 def v4_w5_evidence_text(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    top = rank.bm25_top(d, questions(spark), 5).join(d, "id")
-    line = F.concat(F.lit("[P"), "rank", F.lit("] "), F.left("text", F.lit(80)))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
-    return top.groupBy("query_id").agg(F.array_join(lines, "\n").alias("evidence"))
+    """Titles and whole abstracts of the best labelled documents for each question."""
+    from citemill.operators import evaluate
+
+    p = td.papers(spark, sf_dir)
+    allowed = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc:"), "doc_id").alias("id")).distinct()
+    return evaluate.evidence_text(evaluate.searched(p, questions(spark), 5, allowed), p, evaluate.paper_labels(allowed))
+
+
+ORDER_TEXT_SQL = "odocs as (select 'order:' || l_orderkey as id, string_agg(p_name, ' ' order by l_linenumber, p_name) as text from lineitem join part on l_partkey = p_partkey group by l_orderkey)"
 
 
 @register(
-    f"with {BM25_SQL}, top as (select query_id, id from scored where score > 0 qualify row_number() over (partition by query_id order by score desc, id) <= 5) select a.query_id as one, b.query_id as two, count(*) as shared from top a join top b on a.id = b.id and a.query_id < b.query_id group by 1, 2"
+    f"""with {td.GRAPH_SQL}, {ORDER_TEXT_SQL}, {FIND_SQL}, {DEGREES_SQL}, {POOL_SQL}, s as (select d.id, year, (case when d.id in (select dst from edges where type = 'HAS_LIMITATION') then 10 else 0 end) + (case when lineage_in = 0 and year > 0 then 3 else 0 end) as score from deg d join pool using (id)),
+  top as (select id from s where score > 0 order by score desc, year desc, id limit 8), g as (select id from (select id from top union {PAPERS_ON.format('top')}) where id like 'order:%'),
+  {BM25_SQL.replace(QUESTIONS_SQL, f"questions(query_id, query) as (values (0, '{PART_QUESTIONS[2][1]}'))").replace("select doc_id as id", "select id").replace("from documents)", "from odocs)").replace("want", "bwant")},
+  hits as (select query_id, id from scored where score > 0 qualify row_number() over (partition by query_id order by score desc, id) <= 400)
+  select query_id, list_sort(list(h.id) filter (where g.id is not null)) as shared from hits h left join g on g.id = h.id group by 1"""
 )
 def u5_arm_overlap(spark, sf_dir):
-    top = rank.bm25_top(_docs(spark, sf_dir), questions(spark), 5).select("query_id", "id")
-    a, b = top.toDF("one", "id"), top.toDF("two", "id")
-    return a.join(b, "id").where("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("shared"))
+    """Orders that both a word search over their parts' names and the question's slice of the graph find."""
+    from citemill.operators import evaluate
+
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    question = PART_QUESTIONS[2][1]
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]), " ")
+    docs = li.groupBy(F.concat(F.lit("order:"), "l_orderkey").alias("id")).agg(names.alias("text"))
+    hits = rank.bm25_top(docs, spark.createDataFrame([(0, question)], "query_id int, query string"), 400)
+    labels = evaluate.paper_labels(nodes.where("type = 'Paper'"))
+    _, found = evaluate.graph_arm(nodes, edges, question, labels)
+    return evaluate.arm_overlap(hits, found.select(F.lit(0).alias("query_id"), "id"))
+
+
+@register()
+def v1_evaluation(spark, sf_dir):
+    """A whole run over three questions as Markdown lines: a BM25 index of every paper, one slice a question."""
+    from citemill.operators import evaluate
+    from citemill.sources.store import HAND
+
+    nodes, edges, *_ = _graph(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"]), " ")
+    texts = li.groupBy(F.concat(F.lit("order:"), "l_orderkey").alias("id")).agg(names.alias("abstract"))
+    papers = td.graph_papers(spark, sf_dir).join(texts, "id", "left").select("id", "title", "year", F.coalesce("abstract", F.lit("")).alias("abstract"))
+    done = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.concat(F.lit("order:"), "o_orderkey").alias("paper_id"))
+    c = td.concepts(spark, sf_dir)
+    ref_nodes = c.select("name", F.lit(HAND).alias("provenance"), F.array("id").alias("paper_ids")).dropDuplicates(["name"])
+    ref_edges = graph.named_edges(nodes, edges).where("type <> 'USES'").select("source", "target", "type", F.lit(HAND).alias("provenance"))
+    parts = evaluate.run_eval(papers, done, nodes, edges, [q for _, q in PART_QUESTIONS], (ref_nodes, ref_edges))
+    return evaluate.report_lines(parts)
 
 
 @register(
