@@ -164,6 +164,13 @@ def source_yield(records: DataFrame) -> DataFrame:
     return records.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def key_index(records: DataFrame, cluster: DataFrame, papers: DataFrame) -> DataFrame:
+    """(key, target): every key of a record, with the id of the paper that its cluster became; the earliest has a key."""
+    of = records.select(F.col("ingest_seq").alias("seq"), F.explode("keys").alias("key")).join(cluster, "seq")
+    first = of.groupBy("key").agg(F.min_by("cluster", "seq").alias("cluster"))
+    return first.join(papers.select("cluster", F.col("id").alias("target")), "cluster").select("key", "target")
+
+
 def candidate_window(papers: DataFrame, cap: int) -> DataFrame:
     """The best three times `cap` papers: complete ones first, then most cited, then by id."""
     whole = (fx.text_or_empty(F.col("abstract")) != "") & F.col("year").isNotNull()

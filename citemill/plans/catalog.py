@@ -754,7 +754,7 @@ def _limitations(spark, sf_dir):
 THEME_CASE = "case " + " ".join(f"when {any_sql('lower(l.text)', s)} then '{n}'" for n, s in THEMES) + " else 'other' end"
 LIMITS_SQL = f"""{td.PAPERS_SQL}, known as (select * from papers where ingest_seq not in (select doc_id from labels)), lim as (
   select 'doc:' || doc_id as paper_id, l.text as limitation, coalesce(p.title, 'doc:' || doc_id) as title, p.year, {THEME_CASE} as theme, row_number() over (order by coalesce(p.year, 0) desc, 'doc:' || doc_id) as place
-  from documents l left join known p on p.id = 'doc:' || doc_id where l.text <> '')"""
+  from documents l left join known p on p.id = 'doc:' || doc_id where trim(l.text) <> '')"""
 
 
 @register(f"with {LIMITS_SQL} select paper_id, title, year, theme, place, 'L' || place as mark from lim")

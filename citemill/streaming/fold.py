@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The order of the phases.
-PHASES = ("acquire", "score", "extract", "resolve", "graph", "traverse", "answer", "gaps", "eval", "done")
+PHASES = ("search", "fetch", "score", "fulltext", "extract", "resolve", "graph", "traverse", "answer", "done")
 
 
 def event(run_id: str, seq: int, phase: str, message: str, kind: str = "info", ts: float = 0.0, **payload) -> dict:
@@ -46,7 +46,7 @@ def _counters() -> list[tuple[str, object]]:
     at = lambda *phases: F.col("phase").isin(*phases)
     both = number("extracted").isNotNull() & number("total").isNotNull()
     return [
-        ("papers", F.when(at("acquire"), number("unique")).when(at("score"), number("papers"))),
+        ("papers", F.when(at("fetch"), number("unique")).when(at("score"), number("papers"))),
         ("extracted", F.when(at("extract") & both, number("extracted"))),
         ("extract_total", F.when(at("extract") & both, number("total"))),
         ("extract_pending", F.when(at("extract"), number("pending"))),
@@ -56,6 +56,8 @@ def _counters() -> list[tuple[str, object]]:
         ("merge_decisions", F.when(at("resolve"), length("decisions"))),
         ("nodes", F.when(at("graph"), number("stats", "nodes"))),
         ("edges", F.when(at("graph"), number("stats", "edges"))),
+        ("done_nodes", F.when(at("done"), number("graph", "nodes"))),
+        ("done_edges", F.when(at("done"), number("graph", "edges"))),
         ("subgraph_nodes", F.when(at("traverse"), number("stats", "nodes"))),
         ("subgraph_edges", F.when(at("traverse"), number("stats", "edges"))),
     ]
@@ -65,7 +67,7 @@ def run_states(events: DataFrame) -> DataFrame:
     """One row a run of an event table (`EVENT`), whatever order its rows come in.
 
     seen (phases in order of first event), phase (the last one but `done`), counters (by name, the last value that
-    a payload sets; the pending number stands in for a total), answer (the deltas in order), complete, citations, error
+    a payload sets; a pending number stands in for a total, and the end's for a graph's size), answer (the deltas in order), complete, citations, error
     (the first of the answer's unless the run itself failed, whose last one counts), finished_at and elapsed.
     """
     live = F.col("phase") != "done"
@@ -87,8 +89,9 @@ def run_states(events: DataFrame) -> DataFrame:
         *counted,
     )
     names = [n for n, _ in _counters()]
-    value = {n: F.col(f"c_{n}") for n in names} | {"extract_total": F.coalesce("c_extract_total", "c_extract_pending")}
-    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), value[n].alias("n")) for n in names if n != "extract_pending"]), lambda x: x["n"].isNotNull())
+    spare = {"extract_total": "c_extract_pending", "nodes": "c_done_nodes", "edges": "c_done_edges"}
+    value = {n: F.coalesce(f"c_{n}", spare[n]) if n in spare else F.col(f"c_{n}") for n in names if f"c_{n}" not in spare.values()}
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("n")) for n, v in value.items()]), lambda x: x["n"].isNotNull())
     out = state.join(seen, "run_id", "left").withColumn("counters", F.map_from_entries(pairs))
     elapsed = F.greatest(F.lit(0.0), F.coalesce("finished_at", "latest") - F.col("started_at"))
     return out.select("run_id", "seen", "phase", "counters", "answer", "complete", F.from_json("citations", "array<string>").alias("citations"), "error", "finished_at", elapsed.alias("elapsed"))

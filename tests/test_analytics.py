@@ -231,7 +231,7 @@ def test_wrapped_records_and_snowball(spark):
 
 def test_run_states(spark):
     made = [
-        fold.event("r", 0, "acquire", "go", unique=9, ts=10.0),
+        fold.event("r", 0, "fetch", "go", unique=9, ts=10.0),
         fold.event("r", 1, "score", "scored", papers=7),
         fold.event("r", 2, "extract", "todo", pending=7),
         fold.event("r", 3, "extract", "done", extracted=5, total=6, limitations="x"),
@@ -247,7 +247,7 @@ def test_run_states(spark):
     random.Random(1).shuffle(made)
     got = {r.run_id: r for r in fold.run_states(spark.createDataFrame([tuple(e[c] for c in ("run_id", "seq", "phase", "kind", "message", "payload", "ts")) for e in made], fold.EVENT)).collect()}
     r, s = got["r"], got["s"]
-    assert r.seen == ["acquire", "score", "extract", "graph", "answer", "done"] and r.phase == "answer" and r.answer == "see [P1] and [C9]"
+    assert r.seen == ["fetch", "score", "extract", "graph", "answer", "done"] and r.phase == "answer" and r.answer == "see [P1] and [C9]"
     assert r.counters == {"papers": 7, "extracted": 5, "extract_total": 6, "nodes": 4, "edges": 3} and (r.complete, r.citations, r.elapsed) == (True, ["P1"], 9.0)
     assert (s.error, s.phase, s.finished_at, s.counters) == ("all failed", "error", None, {"extract_total": 3}) and s.seen == ["extract", "answer"]
     assert fold.counter_line(r.counters, 30) == "papers=7   nodes=4   (+3 more)" and fold.counter_line({}) == "no counters yet"
