@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from citemill.runtime import materialize, table
 
-SLABS, SALTS = 64, 8
+#: Ranges of length at least (a session with more shuffle partitions has as many), and parts of one that meet queries apart.
+SLABS, SALTS, STREAMS = 64, 8, 16
 BLOCK, QUERY_BLOCK = 2048, 512
 LEADING = 16
 NO_ID = np.iinfo(np.int64).max
@@ -103,7 +104,8 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         for dim in list(held):
             yield pack(dim)
 
-    dealt = rows.repartitionByRange(SLABS, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
+    slabs = max(SLABS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(slabs, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id")
     return dealt.select(F.spark_partition_id().alias("slab"), "id", "row", "dim", "length", "body").mapInArrow(run, _BLOCKS)
 
 
@@ -171,9 +173,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["dim", "m"]
         )
 
-    total: dict[int, np.ndarray] = {}
-    for dim, m in blocks.select("dim", "ids", "body").mapInArrow(moments, "dim int, m binary").toLocalIterator():  # one width squared a task
-        total[dim] = total.get(dim, 0) + np.frombuffer(m).reshape(dim, dim)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for dim, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[dim] = sums.get(dim, 0) + np.frombuffer(m)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["dim", "m"])
+
+    kind = "dim int, m binary"  # one width squared a task, added up in two steps
+    found = blocks.select("dim", "ids", "body").mapInArrow(moments, kind).withColumn("stream", F.monotonically_increasing_id() % STREAMS)
+    found = found.repartition("dim", "stream").drop("stream").mapInArrow(add, kind).repartition("dim").mapInArrow(add, kind)
+    total = {dim: np.frombuffer(m).reshape(dim, dim) for dim, m in found.collect()}  # one row a width
     rotations = {dim: np.ascontiguousarray(np.linalg.eigh(m)[1][:, ::-1]) for dim, m in total.items()}
     longest = blocks.groupBy("dim").agg(F.max_by(F.struct("ids", "body"), "longest").alias("top"))
     tops = {r.dim: (bytes(r.top.ids), bytes(r.top.body)) for r in longest.collect()}  # one block a width
@@ -194,7 +204,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                 yield pa.RecordBatch.from_pylist([{"qslab": r["slab"], "qblock": r["block"], "dim": r["dim"], "need": float(need.min()), "q_ids": r["ids"], "q_body": r["body"], "least": least.tobytes()}], schema=_SEEDED)
 
     seeded = materialize(queries.mapInArrow(seed, "qslab int, qblock int, dim int, need double, q_ids binary, q_body binary, least binary"), "seeded")
-    slabs = blocks.groupBy("slab", "dim").agg(F.max("longest").alias("longest"))  # at most SLABS rows a width
+    slabs = blocks.groupBy("slab", "dim").agg(F.max("longest").alias("longest"))  # one row a range and width
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     sent = seeded.join(F.broadcast(slabs), "dim").where("longest >= need").drop("longest").select("*", salts)
     met = blocks.withColumn("salt", F.col("block") % SALTS).join(sent, ["slab", "dim", "salt"])
