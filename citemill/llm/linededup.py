@@ -25,6 +25,7 @@ from citemill.runtime import materialize, table
 #: The edit bound. Halving without loss and the variants with one character left out are both made for it.
 EDITS = 1
 REST = 48
+PARTS = ("p0", "p1", "p2", "p3")
 #: Keys of 8 bytes that are sent to all executors at most.
 SMALL_IDS = 2_000_000
 
@@ -57,6 +58,15 @@ def _halves(context: Column, s: Column) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
+def _half_keys(s: str) -> list[Column]:
+    """The keys of the halves of a column, null where the two sizes of half are the same: plain expressions, which are compiled,
+    for the one pass over all lines."""
+    n = F.char_length(s)
+    short, long = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    keys = [F.xxhash64(F.lit(side), half, F.substring(s, F.lit(1) if side == 0 else n - half + 1, half)) for half in (short, long) for side in (0, 1)]
+    return [*keys[:2], *[F.when(long != short, k) for k in keys[2:]]]
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose context holds more than one line."""
     groups = rows.groupBy("context").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("context")
@@ -64,8 +74,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def near_lines(first_uses: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h, partner): lines with an earlier line within one edit, of (h, h2, when, parts) and where to find their text."""
-    parts = first_uses.select("h", F.explode("parts").alias("context")).distinct()
+    """(h, partner): lines with an earlier line within one edit, of (h, h2, when, p0 to p3) and where to find their text."""
+    parts = first_uses.select("h", F.explode(F.array(*PARTS)).alias("context")).where("context is not null").distinct()
     wanted = materialize(_shared(parts), "halves")
     ids = wanted.select("h").distinct()
     known = first_uses.join(ids, "h", "left_semi").select("h", "when")
@@ -123,10 +133,10 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         F.xxhash64("s").alias("h"),
         F.xxhash64(F.lit(1), F.col("s")).alias("h2"),
         F.char_length("s").alias("size"),
-        F.transform(_halves(F.lit(0), F.col("s")), lambda p: p["context"]).alias("parts"),
+        *[k.alias(p) for k, p in zip(_half_keys("s"), PARTS, strict=True)],
         _when().alias("when"),
     )
-    first_uses = materialize(keyed.groupBy("h", "h2", "size", "parts").agg(F.min("when").alias("when")), "lines")
+    first_uses = materialize(keyed.groupBy("h", "h2", "size", *PARTS).agg(F.min("when").alias("when")), "lines")
     gone = materialize(near_lines(first_uses, lines).select("h"), "gone")
     gone = gone.withColumn("near", F.lit(1))
     marked = first_uses.join(F.broadcast(gone) if gone.count() <= SMALL_IDS else gone, "h", "left")
