@@ -51,12 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: a lineage cut that outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/citemill/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for a store of this session; `release` deletes it as it does tables."""
+    path = f"{shared_dir(spark)}/citemill/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written() -> int:
     """How many tables `materialize` has written so far and not deleted."""
     return len(_WRITTEN)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from citemill.plans import catalog
+from citemill.plans import captures, catalog  # noqa: F401
 from tests.conftest import SF, agrees
 
 
