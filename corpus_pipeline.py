@@ -15,6 +15,9 @@ names that start with `_` for itself.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +46,15 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # copies of a document are numbered, so that each has its own place in the shuffle
+    # copies of a document are numbered, so that each has its own place in the shuffle; places are found for these
+    # keys alone, and whole rows then meet theirs
     alike = Window.partitionBy("source", "doc_id", "_crc").orderBy("lang", "n_chars")
     rows = docs.withColumn("_crc", F.crc32(F.col("text").cast("binary"))).withColumn("_nth", F.row_number().over(alike))
-    return stratified_shards(rows, SHARDS, keys=("doc_id", "_crc", "_nth")).drop("_crc", "_nth")
+    keys = ("source", "doc_id", "_crc", "_nth")
+    placed = stratified_shards(rows.select(*keys), SHARDS, keys=keys[1:])
+    placed = placed.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "shard", "slot")
+    met = rows.drop("shard", "slot").join(placed, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]))
+    return met.drop("_crc", "_nth", *[f"_at_{k}" for k in keys])
 
 
 STAGES = [
