@@ -284,3 +284,15 @@ def test_arms_without_shared_papers_are_null_as_in_sql(spark, monkeypatch):
 
     monkeypatch.setattr(evaluate, "graph_arm", lambda *_: (None, spark.createDataFrame([], "id string")))
     assert [r.shared for r in catalog.u5_arm_overlap(spark, "/root/testdata/sf0.001").collect()] == [None]
+
+
+def test_themes_close_without_an_array_of_their_words(spark, monkeypatch):
+    monkeypatch.setattr(gaps, "SMALL_WORDS", 0)
+    papers = spark.createDataFrame([("a", "Old paper", 2010), ("b", "New paper", 2020)], "id string, title string, year int")
+    ex = spark.createDataFrame([("a", "training cost is large", ""), ("b", "", "We address training cost here"), ("d", "data is scarce", "y")], "paper_id string, stated_limitation string, summary string")
+    rows = gaps.limitation_rows(ex, papers, (("cost", ("cost",)), ("data", ("data",))))
+    texts = []
+    monkeypatch.setattr(gaps, "materialize", lambda df, label, cut=gaps.materialize: (texts.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df, label))[1])
+    kept, closed = gaps.kept_and_closed(gaps.ranked(gaps.themes(rows), spark.createDataFrame([], "id string, name string, year int")), rows, ex, papers, ("we address",))
+    assert [(r.key, r.closer, r.shared) for r in closed.collect()] == [("theme:cost", "b", ["paper", "training"])] and [r.key for r in kept.collect()] == ["theme:data"]
+    assert not any("collect_set" in t and "array_intersect" in t and "AS words" in t for t in texts)
