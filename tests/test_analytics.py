@@ -296,3 +296,15 @@ def test_themes_close_without_an_array_of_their_words(spark, monkeypatch):
     kept, closed = gaps.kept_and_closed(gaps.ranked(gaps.themes(rows), spark.createDataFrame([], "id string, name string, year int")), rows, ex, papers, ("we address",))
     assert [(r.key, r.closer, r.shared) for r in closed.collect()] == [("theme:cost", "b", ["paper", "training"])] and [r.key for r in kept.collect()] == ["theme:data"]
     assert not any("collect_set" in t and "array_intersect" in t and "AS words" in t for t in texts)
+
+
+def test_report_lines_collect_no_texts(spark):
+    ex = spark.createDataFrame([("a", "training cost is large", ""), ("b", "its cost", "x"), ("d", "data is scarce", "y")], "paper_id string, stated_limitation string, summary string")
+    papers = spark.createDataFrame([("a", "Old paper", 2010)], "id string, title string, year int")
+    parts = gaps.gap_report(ex, papers, theme_rules=(("cost", ("cost",)), ("data", ("data",))))
+    lines = gaps.report_lines(parts)
+    import re
+
+    assert not [x for x in re.findall(r"collect_list\(([^\n]*?)\) AS", lines._jdf.queryExecution().optimizedPlan().toString()) if "limitation" in x]
+    assert [r.line for r in lines.where("section = 6").orderBy("place").collect()][0].endswith("- evidence: training cost is large")
+    assert {r.theme: (r.labels, r.evidence) for r in parts["themes"].collect()}["cost"] == (["L1", "L2"], ["training cost is large", "its cost"])
